@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from presswork.llm import boilerplate, neardup, packing, pairs, tokens
+from presswork.llm import boilerplate, neardup, packing, pairs, subjects, tokens
 from presswork.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,9 +61,21 @@ def p7_summary(spark: SparkSession, d: str) -> DataFrame:
     return packing.packing_summary(p7_packed(spark, d))
 
 
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subject_shares(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subjects"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_shares(spark, d).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.corpus_shares(p8_shares(spark, d))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_similar, p2_found, p2_pairs, p4_found, p4_blocks, p4_cleaned, p6_ids, p6_round_trip, p7_packed, p7_summary)
+    for f in (p1_found, p1_similar, p2_found, p2_pairs, p4_found, p4_blocks, p4_cleaned, p6_ids, p6_round_trip, p7_packed, p7_summary, p8_found, p8_shares, p8_composition)
 }
 
 _P4_LINES = r"""

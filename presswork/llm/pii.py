@@ -1,0 +1,271 @@
+"""Problem 3: personal information, by a character-level bidirectional LSTM with CRF transitions.
+
+The model is trained by ``pii_train`` (numpy) from labelled spans; its weights lie beside this
+module. Every text is cut into overlapping windows, each window is decoded by Viterbi, and the
+spans of all windows of a text are reconciled: where windows overlap, each is believed up to the
+middle of the overlap, a span on the border is joined, and a name found once is looked for in the
+whole text. A decoded span is then held against the written forms of its kind, which fixes where it
+begins and ends, or refuses it; forms without a decoded span give nothing."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
+
+import numpy as np
+import regex
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from presswork.llm import pii_forms as forms
+from presswork.session import spread
+
+KINDS = forms.KINDS
+TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
+WINDOW, OVERLAP = 128, 32
+WEIGHTS = Path(__file__).with_name("pii_weights.npz")
+#: Added to the score of O: below 0 the decoder leans to finding, as the forms check what it finds.
+LEAN = -1.0
+PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
+
+_CLASSES = 8
+
+
+def char_class(c: int) -> int:
+    """Class of a code point that isn't among the model's characters."""
+    if 0xAC00 <= c <= 0xD7A3:
+        return 1
+    if 0x61 <= c <= 0x7A:
+        return 2
+    if 0x41 <= c <= 0x5A:
+        return 3
+    if 0x30 <= c <= 0x39:
+        return 4
+    if 0x4E00 <= c <= 0x9FFF:
+        return 5
+    if 0x3130 <= c <= 0x318F:
+        return 6
+    return 7
+
+
+def folded(points: np.ndarray) -> np.ndarray:
+    """Code points with full-width ASCII as ASCII and odd spaces as spaces."""
+    p = points.copy()
+    wide = (p >= 0xFF01) & (p <= 0xFF5E)
+    p[wide] -= 0xFEE0
+    p[(p == 0x3000) | (p == 0xA0) | (p == 9) | (p == 13)] = 0x20
+    return p
+
+
+class Tagger:
+    """Weights, and tagging of batches of windows."""
+
+    def __init__(self, w: dict[str, np.ndarray]) -> None:
+        chars = w["chars"]
+        top = int(max(chars.max(), 0xFFFF)) + 1
+        self.ids = np.fromiter((char_class(c) for c in range(top)), np.int32, top)
+        self.ids[chars] = np.arange(len(chars), dtype=np.int32) + _CLASSES
+        self.hidden = w["uf"].shape[0]
+        emb = w["emb"].astype(np.float32)
+        # the input's part of the gates, looked up by character; sigmoids as tanh of the half
+        half = np.ones(4 * self.hidden, np.float32)
+        half[: 3 * self.hidden] = 0.5
+        self.x = [((emb @ w[f"w{d}"] + w[f"b{d}"]) * half).astype(np.float32) for d in "fb"]
+        self.u = [(w[f"u{d}"] * half).astype(np.float32) for d in "fb"]
+        self.out, self.bias, self.trans = (w[k].astype(np.float32) for k in ("out", "bias", "trans"))
+        self.bias = self.bias + np.eye(len(TAGS), dtype=np.float32)[0] * LEAN
+
+    def encode(self, text: str) -> np.ndarray:
+        p = folded(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64))
+        return self.ids[np.where(p < len(self.ids), p, 0xFFFF)]
+
+    def _run(self, ids: np.ndarray, d: int) -> np.ndarray:
+        """Hidden states (time, batch, hidden) of one direction; ids is (time, batch)."""
+        t, n = ids.shape
+        k = self.hidden
+        h, c = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32)
+        out = np.empty((t, n, k), np.float32)
+        for i in range(t) if d == 0 else range(t - 1, -1, -1):
+            g = self.x[d][ids[i]]
+            g += h @ self.u[d]
+            np.tanh(g, out=g)
+            gates = g[:, : 3 * k]
+            gates *= 0.5
+            gates += 0.5
+            c = gates[:, k : 2 * k] * c
+            c += gates[:, :k] * g[:, 3 * k :]
+            h = gates[:, 2 * k : 3 * k] * np.tanh(c)
+            out[i] = h
+        return out
+
+    def tags(self, ids: np.ndarray) -> np.ndarray:
+        """Best tags (time, batch) by Viterbi."""
+        h = self.hidden
+        e = self._run(ids, 0) @ self.out[:h]
+        e += self._run(ids, 1) @ self.out[h:]
+        e += self.bias
+        t, n, k = e.shape
+        back = np.empty((t, n, k), np.int8)
+        best = e[0]
+        for i in range(1, t):
+            s = best[:, :, None] + self.trans
+            a = s.argmax(1)
+            back[i] = a
+            best = np.take_along_axis(s, a[:, None, :], 1)[:, 0] + e[i]
+        got = np.empty((t, n), np.int8)
+        got[-1] = best.argmax(1)
+        rows = np.arange(n)
+        for i in range(t - 1, 0, -1):
+            got[i - 1] = back[i, rows, got[i]]
+        return got
+
+
+@lru_cache(maxsize=2)
+def tagger(path: str) -> Tagger:
+    """One in each worker process."""
+    with np.load(path) as w:
+        return Tagger({k: w[k] for k in w.files})
+
+
+def tag_texts(t: Tagger, texts: list[str], batch: int = 512) -> list[np.ndarray]:
+    """Tags of every character of every text, from overlapping windows."""
+    step = WINDOW - OVERLAP
+    codes = [t.encode(x) for x in texts]
+    out = [np.zeros(len(c), np.int8) for c in codes]
+    jobs = [(i, s) for i, c in enumerate(codes) for s in range(0, max(1, len(c) - OVERLAP), step) if len(c)]
+    jobs.sort(key=lambda j: min(WINDOW, len(codes[j[0]]) - j[1]))  # like lengths together
+    for a in range(0, len(jobs), batch):
+        part = jobs[a : a + batch]
+        width = max(min(WINDOW, len(codes[i]) - s) for i, s in part)
+        ids = np.zeros((width, len(part)), np.int32)
+        for k, (i, s) in enumerate(part):
+            c = codes[i][s : s + width]
+            ids[: len(c), k] = c
+        got = t.tags(ids)
+        for k, (i, s) in enumerate(part):
+            lead = 0 if s == 0 else OVERLAP // 2
+            end = min(s + WINDOW, len(codes[i]))
+            stop = end if end == len(codes[i]) else end - OVERLAP // 2
+            out[i][s + lead : stop] = got[lead : stop - s, k]
+    return out
+
+
+def decoded_spans(tags: np.ndarray) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of runs of one kind; a B within begins another."""
+    kind = (tags.astype(np.int64) + 1) // 2  # 0 is O
+    begin = (tags % 2 == 1) & (tags > 0)
+    if not kind.any():
+        return []
+    change = np.flatnonzero(np.r_[True, (kind[1:] != kind[:-1]) | begin[1:]])
+    ends = np.r_[change[1:], len(tags)]
+    return [(int(kind[s]) - 1, int(s), int(e)) for s, e in zip(change, ends) if kind[s]]
+
+
+def _name_at(text: str, s: int, e: int) -> tuple[int, int] | None:
+    """The full name that a decoded span lies on, if its written form is one."""
+    for m in forms.LATIN_NAME.finditer(text, max(0, s - 24), min(len(text), e + 24)):
+        if m.start() < e and m.end() > s:
+            return m.span()
+    for m in forms.NAME_SHAPE.finditer(text, max(0, s - 4), min(len(text), e + 4)):
+        if m.start() < e and m.end() > s and m.end() - m.start() <= e - s + 2 and not forms.NOT_A_PERSON.match(text, m.end()):
+            return m.span()
+    return None
+
+
+def checked(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of decoded spans whose written form bears them out, without overlaps."""
+    found: dict[tuple[int, int], str] = {}
+    names = set()
+    for k, s, e in spans:
+        kind = KINDS[k]
+        if kind == "name":
+            at = _name_at(text, s, e)
+            if at:
+                found[at] = kind
+                names.add(text[at[0] : at[1]])
+            continue
+        for m in forms.FORMS[kind].finditer(text, max(0, s - 64), min(len(text), e + 64)):
+            if m.start() < e and m.end() > s:
+                found[m.span()] = kind
+    for name in names:
+        for m in regex.finditer(rf"(?<![\p{{L}}-]){regex.escape(name)}(?![A-Za-z-])", text):
+            if not forms.NOT_A_PERSON.match(text, m.end()):
+                found.setdefault(m.span(), "name")
+    out: list[tuple[str, int, int]] = []
+    for (s, e), kind in sorted(found.items(), key=lambda x: (x[0][0], -x[0][1])):
+        if not out or s >= out[-1][2]:
+            out.append((kind, s, e))
+    return out
+
+
+def find_spans(texts: list[str | None], path: str) -> list[list[tuple[str, int, int]]]:
+    """Personal information in each text; null and empty texts have none."""
+    t = tagger(path)
+    have = [i for i, x in enumerate(texts) if x]
+    tags = tag_texts(t, [texts[i] for i in have])
+    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    for i, g in zip(have, tags):
+        out[i] = checked(texts[i], decoded_spans(g))
+    return out
+
+
+def replaced(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
+    """The text with each span as its placeholder, otherwise unchanged."""
+    if not text or not spans:
+        return text
+    out, at = [], 0
+    for kind, s, e in spans:
+        out += [text[at:s], PLACEHOLDERS[kind]]
+        at = e
+    return "".join(out) + text[at:]
+
+
+def fields(reports: DataFrame, articles: DataFrame) -> DataFrame:
+    """field, id, text of the three fields, once for each distinct id and text of a delivery."""
+    r = reports.select("id", F.explode(F.array(F.struct(F.lit("reports.content").alias("field"), F.col("content").alias("text")), F.struct(F.lit("reports.reporter_contact").alias("field"), F.col("reporter_contact").alias("text")))).alias("x")).select("x.field", "id", "x.text")
+    a = articles.select(F.lit("articles.content").alias("field"), "id", F.col("content").alias("text"))
+    return r.unionByName(a).filter("id is not null")
+
+
+def _chunks(b, size: int = 1000) -> Iterator:
+    for i in range(0, b.num_rows, size):
+        yield b.slice(i, size)
+
+
+def personal_spans(texts: DataFrame, weights: str | None = None) -> DataFrame:
+    """field, id, start_at (from 1), span_len, kind for ``texts`` (field, id, text); distinct rows.
+
+    Null and empty texts have none; very long ones are read window by window; rows delivered twice
+    give their rows once."""
+    path = weights or str(WEIGHTS)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for whole in batches:
+            for b in _chunks(whole):
+                got = find_spans(b.column(2).to_pylist(), path)
+                row = [i for i, g in enumerate(got) for _ in g]
+                flat = [x for g in got for x in g]
+                at = pa.array(row, pa.int64())
+                cols = [b.column(0).take(at), b.column(1).take(at), pa.array([s + 1 for _, s, _ in flat], pa.int64()), pa.array([e - s for _, s, e in flat], pa.int64()), pa.array([k for k, _, _ in flat], pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, ["field", "id", "start_at", "span_len", "kind"])
+
+    source = spread(texts.select("field", "id", "text"))
+    return source.mapInArrow(run, "field string, id bigint, start_at bigint, span_len bigint, kind string").distinct()
+
+
+def masked(texts: DataFrame, weights: str | None = None) -> DataFrame:
+    """field, id, text with placeholders: one row per input row; null stays null."""
+    path = weights or str(WEIGHTS)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for whole in batches:
+            for b in _chunks(whole):
+                raw = b.column(2).to_pylist()
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([replaced(t, g) for t, g in zip(raw, find_spans(raw, path))], pa.string())], ["field", "id", "text"])
+
+    return spread(texts.select("field", "id", "text")).mapInArrow(run, "field string, id bigint, text string")

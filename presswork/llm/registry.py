@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from presswork.llm import boilerplate, neardup, packing, pairs, subjects, tokens
+from presswork.llm import boilerplate, neardup, packing, pairs, pii, scanned, subjects, tokens
 from presswork.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,14 @@ def _sourced(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.sourced(table(spark, d, "articles"), table(spark, d, "papers"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.personal_spans(pii.fields(table(spark, d, "reports"), table(spark, d, "articles")))
+
+
+def p3_masked(spark: SparkSession, d: str) -> DataFrame:
+    return pii.masked(pii.fields(table(spark, d, "reports"), table(spark, d, "articles")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.boilerplate(_sourced(spark, d))[1].select("field", "id", "line_no")
 
@@ -45,6 +53,14 @@ def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.cleaned(records, boilerplate.boilerplate(records)[1])
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return scanned.noise_lines(scanned.fields(table(spark, d, "articles"), table(spark, d, "papers")), scanned.paper_names(table(spark, d, "admins")))
+
+
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scanned.repaired(scanned.fields(table(spark, d, "articles"), table(spark, d, "papers")), scanned.paper_names(table(spark, d, "admins")))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(table(spark, d, "documents"))
 
@@ -75,7 +91,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_similar, p2_found, p2_pairs, p4_found, p4_blocks, p4_cleaned, p6_ids, p6_round_trip, p7_packed, p7_summary, p8_found, p8_shares, p8_composition)
+    for f in (p1_found, p1_similar, p2_found, p2_pairs, p3_found, p3_masked, p4_found, p4_blocks, p4_cleaned, p5_found, p5_repaired, p6_ids, p6_round_trip, p7_packed, p7_summary, p8_found, p8_shares, p8_composition)
 }
 
 _P4_LINES = r"""

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from presswork.plans import content, pages, relational, state
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+QUERIES = relational.QUERIES | content.QUERIES | state.QUERIES | pages.QUERIES
+SQL = relational.SQL | content.SQL | state.SQL | pages.SQL

@@ -104,37 +104,46 @@ class Counts:
         return got
 
 
-def count_keys(texts: list[str | None]) -> Counter:
-    """Words, pieces and ending pairs of texts."""
-    words: Counter = Counter()
-    ends: Counter = Counter()
-    cache: dict[str, str] = {}
-    for t in texts:
-        if not t:
-            continue
-        toks = t.split()
-        got = []
-        for x in toks:
-            w = cache.get(x)
-            if w is None:
-                w = cache[x] = "" if _ADDRESS.search(x) else bare(x)[:40]
-            got.append(w)
-        words.update(got)
-        last = [w[-1:] for w in got]
-        ends.update(zip(last, last[1:]))
-    words.pop("", None)
-    out: Counter = Counter()
-    for w, n in words.items():
-        out["w" + w] += n
-        s = "^" + w + "$"
-        for i in range(len(s) - 2):
-            out["t" + s[i : i + 3]] += n
-            out["p" + s[i : i + 2]] += n
-    for (a, b), n in ends.items():
-        out["e" + a + b] += n
-        out["f" + a] += n
-    out["#"] = sum(words.values())
-    return out
+class Tally:
+    """Words and pairs of word endings of texts, counted across batches."""
+
+    def __init__(self) -> None:
+        self.words: Counter = Counter()
+        self.ends: Counter = Counter()
+        self.cache: dict[str, str] = {}
+
+    def _bare(self, x: str) -> str:
+        w = self.cache.get(x)
+        if w is None:
+            if len(self.cache) > 1_000_000:
+                self.cache.clear()
+            w = self.cache[x] = "" if _ADDRESS.search(x) else bare(x)[:40]
+        return w
+
+    def add(self, texts: list[str | None]) -> None:
+        for t in texts:
+            if t:
+                got = list(map(self._bare, t.split()))
+                self.words.update(got)
+                last = [w[-1:] for w in got]
+                self.ends.update(zip(last, last[1:]))
+
+    def keys(self) -> Counter:
+        """Counts of words, of their pieces, of ending pairs, and of all words (#)."""
+        self.words.pop("", None)
+        out: Counter = Counter()
+        for w, n in self.words.items():
+            out["w" + w] += n
+            s = "^" + w + "$"
+            for i in range(len(s) - 2):
+                out["t" + s[i : i + 3]] += n
+                out["p" + s[i : i + 2]] += n
+        for (a, b), n in self.ends.items():
+            out["e" + a + b] += n
+            out["f" + a] += n
+        out["#"] = sum(self.words.values())
+        self.words.clear(), self.ends.clear()
+        return out
 
 
 def _vowel_away(a: str, b: str) -> bool:
@@ -380,7 +389,9 @@ class Reader:
             elif self.is_page_number(line):
                 out.append((n + 1, "page_no"))
                 continue
-            below = next((x for x in lines[n + 1 :] if x.strip() and not self.is_header(x) and not self.is_page_number(x) and not _FURNITURE.fullmatch(x.strip())), None)
+            below = None
+            if s[-1] in BREAKS:
+                below = next((x for x in lines[n + 1 :] if x.strip() and not self.is_header(x) and not self.is_page_number(x) and not _FURNITURE.fullmatch(x.strip())), None)
             broken = not head and self.is_broken(line, below)
             if broken:
                 out.append((n + 1, "hyphen"))
@@ -475,16 +486,15 @@ def fields(articles: DataFrame, papers: DataFrame) -> DataFrame:
 def _count_batches(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    got: Counter = Counter()
+    tally = Tally()
 
     def out() -> pa.RecordBatch:
-        r = pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], ["key", "n"])
-        got.clear()
-        return r
+        got = tally.keys()
+        return pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], ["key", "n"])
 
     for b in batches:
-        got.update(count_keys(b.column(0).to_pylist()))
-        if len(got) > 2_000_000:
+        tally.add(b.column(0).to_pylist())
+        if len(tally.words) > 1_000_000:
             yield out()
     yield out()
 

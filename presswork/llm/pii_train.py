@@ -15,9 +15,9 @@ import numpy as np
 import regex
 
 from presswork.llm import pii_forms as forms
-from presswork.llm.pii import _CLASSES, KINDS, TAGS, WINDOW, char_class, folded
+from presswork.llm.pii import _CLASSES, KINDS, TAGS, char_class, folded
 
-TEXTS, VALID = 9000, 600
+TEXTS, VALID, WINDOW = 9000, 600, 128
 CHARS, EMB, HIDDEN = 1400, 24, 32
 
 

@@ -138,8 +138,7 @@ def q_related_replace(t: Tables) -> DataFrame:
 @R.add(f"{TOGGLED} select article_id, user_identifier, emotion_type from t where back = 1 and is_on")
 def stream_emotion_state(t: Tables) -> DataFrame:
     log = em.emotion_log(live.read_stream(t.spark, t.dir, "events"))
-    got = live.available_now(live.reaction_states(log), "update", ["article_id", "user_identifier"])
-    return got.filter("emotion_type <> ''").select("article_id", "user_identifier", "emotion_type")
+    return live.folded_now(log, live.fold_reactions)
 
 
 @R.add(f"{REQ} select path, count(*) requests from r where path not like '/actuator%' group by 1")
@@ -156,7 +155,7 @@ def stream_progress(t: Tables) -> DataFrame:
     class Streamed(Tables):
         events = live.read_stream(t.spark, t.dir, "events")
 
-    return live.available_now(live.progress_states(progress_log(Streamed(t.spark, t.dir))), "update", ["job_id"])
+    return live.folded_now(progress_log(Streamed(t.spark, t.dir)), live.fold_progress).select("job_id", "status", "progress")
 
 
 @R.add("select epoch_us(date_trunc('day', ts)) start_us, event_type emotion_type, count(*) n from events group by 1, 2")

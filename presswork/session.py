@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +44,27 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Applications that have the package on their workers.
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package's modules to the executors' Python workers, once per application: they
+    needn't find it where the driver does."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    root = Path(__file__).parent
+    tmp = tempfile.mkdtemp(prefix="presswork")  # on the driver only, which serves it
+    atexit.register(shutil.rmtree, tmp, True)
+    at = Path(tmp, "presswork_modules.zip")
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, str(Path(root.name, f.relative_to(root))))
+    spark.sparkContext.addPyFile(str(at))
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, the result survives
     the loss of executors, and the planner knows its size."""

@@ -6,18 +6,20 @@ form. State lives in the shared checkpoint folder."""
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from presswork.session import shared_dir
+from presswork.operators.emotions import final_states
+from presswork.session import shared_dir, ship
 
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 16) -> DataFrame:
     """A Parquet table as a stream of its files."""
+    ship(spark)
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*").parquet(f"{sf_dir}/{name}.parquet*")
 
@@ -88,5 +90,43 @@ def available_now(stream: DataFrame, mode: str, keys: list[str] | None = None, s
     return top.select(*keys, *(F.col(f"r.{c}").alias(c) for c in rest))
 
 
+def folded_now(stream: DataFrame, fold: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame:
+    """A keyed state table that each micro-batch is folded into, as a DataFrame operation.
+
+    ``fold`` gets the table so far (None at first) and the batch. Every batch writes a version of
+    its own from the one before it, so a batch that is repeated after a failure gives the same
+    version again. Millions of keys cost a join, not a Python call each."""
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/stream/{uuid.uuid4().hex}"
+    versions: list[int] = []
+
+    def step(df: DataFrame, batch: int) -> None:
+        before = [v for v in versions if v < batch]
+        prev = df.sparkSession.read.parquet(f"{base}/v{before[-1]}") if before else None
+        fold(prev, df).write.mode("overwrite").parquet(f"{base}/v{batch}")
+        if batch not in versions:
+            versions.append(batch)
+
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/v{versions[-1]}")
+
+
+def fold_reactions(prev: DataFrame | None, log: DataFrame) -> DataFrame:
+    """Standing reactions after a batch of requests: what stood before comes as a request of its own."""
+    if prev is not None:
+        first = F.lit("0001-01-01").cast("timestamp_ntz")
+        seeds = prev.select(F.lit(-1).cast("bigint").alias("seq"), "article_id", "user_identifier", "emotion_type", first.alias("ts"))
+        log = seeds.unionByName(log.select("seq", "article_id", "user_identifier", "emotion_type", F.col("ts").cast("timestamp_ntz").alias("ts")))
+    return final_states(log)
+
+
+def fold_progress(prev: DataFrame | None, log: DataFrame) -> DataFrame:
+    """Last snapshot of each job after a batch."""
+    cols = ["job_id", "ts", "seq", "status", "progress"]
+    rows = log.select(*cols) if prev is None else prev.select(*cols).unionByName(log.select(*cols))
+    top = rows.groupBy("job_id").agg(F.max(F.struct("ts", "seq", "status", "progress")).alias("m"))
+    return top.select("job_id", "m.ts", "m.seq", "m.status", "m.progress")
+
+
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

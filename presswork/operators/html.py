@@ -15,9 +15,10 @@ LINK = r"""href=["']([^"']*articleView\.html\?idxno=[^"']*)["']"""
 
 def page_title(html: Column) -> Column:
     """og:title if the tag is there, even empty, else <title>; at most 255 characters."""
-    og = r"""(?is)<meta[^>]*property=["']og:title["'][^>]*content=["']([^"']*)["']"""
+    og = r"""(?is)<meta[^>]*property=["']og:title["'][^>]*content=(?:"([^"]*)"|'([^']*)')"""
+    value = F.concat(F.regexp_extract(html, og, 1), F.regexp_extract(html, og, 2))
     plain = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    return F.substring(F.trim(F.when(html.rlike(og), F.regexp_extract(html, og, 1)).otherwise(plain)), 1, 255)
+    return F.substring(F.trim(F.when(html.rlike(og), value).otherwise(plain)), 1, 255)
 
 
 def page_links(pages: DataFrame) -> DataFrame:

@@ -1,11 +1,12 @@
 """Page geometry: glyphs to lines, lines to columns, titles and articles.
 
 A page is small and bounded; what is order-dependent within it (column splits, title merging) runs
-as one grouped pandas function per page, everything else as DataFrame operations."""
+in Python over batches of whole pages, everything else as DataFrame operations."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -160,15 +161,37 @@ def articles(lines: DataFrame, glyph_sizes: DataFrame, pages: DataFrame) -> Data
     d = lines.join(med, PAGE).join(pages, PAGE)
     d = d.withColumn("is_title", F.coalesce(tx.is_probable_title(F.col("text"), F.col("max_size"), F.col("median")), F.lit(False)))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y0", "x0"], kind="stable")
-        cols = ["text", "x0", "y0", "x1", "y1", "max_size"]
-        r = pdf.iloc[0]
-        got = page_articles(pdf[cols].to_dict("records"), [r["median"]], pdf.loc[pdf["is_title"], cols].to_dict("records"), r["width"], r["height"])
-        rows = [(r["doc_id"], r["page"], n, f"p{int(r['page']):02d}_a{n:03d}", a["title"], a["text"], a["column_index"], a["continuation_to_page"]) for n, a in enumerate(got, 1)]
-        return pd.DataFrame(rows, columns=["doc_id", "page", "idx", "id", "title", "text", "column_index", "continuation_to_page"]).astype({"continuation_to_page": "Int32"})
-
-    return d.groupBy(*PAGE).applyInPandas(one, "doc_id bigint, page int, idx int, id string, title string, text string, column_index int, continuation_to_page int")
+    cols = ["text", "x0", "y0", "x1", "y1", "max_size"]
+    rows = F.array_sort(F.collect_list(F.struct("y0", "x0", "text", "x1", "y1", "max_size", "is_title")))
+    whole = d.groupBy(*PAGE, "median", "width", "height").agg(rows.alias("rows"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for r in f.itertuples():
+                lines = [{c: x[c] for c in cols} for x in r.rows]
+                titles = [n for n, x in zip(lines, r.rows) if x["is_title"]]
+                for n, a in enumerate(page_articles(lines, [r.median], titles, r.width, r.height), 1):
+                    out.append((r.doc_id, r.page, n, f"p{int(r.page):02d}_a{n:03d}", a["title"], a["text"], a["column_index"], a["continuation_to_page"]))
+            yield pd.DataFrame(out, columns=["doc_id", "page", "idx", "id", "title", "text", "column_index", "continuation_to_page"]).astype({"continuation_to_page": "Int32"})
+
+    return whole.mapInPandas(run, "doc_id bigint, page int, idx int, id string, title string, text string, column_index int, continuation_to_page int")
+
+
+def in_reading_order(lines: DataFrame, key: str, width: float) -> DataFrame:
+    """key, line_id, n, col: lines of a page in reading order with their column."""
+    whole = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "line_id", "x1"))).alias("rows"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for k, rows in zip(f[key], f["rows"]):
+                page = [{c: x[c] for c in ("line_id", "x0", "y0", "x1")} for x in rows]
+                splits = column_splits([x["x0"] for x in page], width)
+                out += [(k, x["line_id"], n, column_of((x["x0"] + x["x1"]) / 2, splits)) for n, x in enumerate(reading_order(page, width), 1)]
+            yield pd.DataFrame(out, columns=[key, "line_id", "n", "col"])
+
+    return whole.mapInPandas(run, f"{key} bigint, line_id string, n bigint, col bigint")
 
 
 def body_lines(lines: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -114,15 +114,7 @@ def q_gap_candidates(t: Tables) -> DataFrame:
 @R.add()
 def q_column_splits(t: Tables) -> DataFrame:
     """Lines in reading order per document, with their column."""
-    import pandas as pd
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["y0", "x0", "line_id"]).to_dict("records")
-        splits = lo.column_splits([r["x0"] for r in rows], 1000.0)
-        got = lo.reading_order(rows, 1000.0)
-        return pd.DataFrame([(r["doc_id"], r["line_id"], n, lo.column_of((r["x0"] + r["x1"]) / 2, splits)) for n, r in enumerate(got, 1)], columns=["doc_id", "line_id", "n", "col"])
-
-    return _lines(t).select("doc_id", "line_id", "x0", "x1", "y0").groupBy("doc_id").applyInPandas(one, "doc_id bigint, line_id string, n bigint, col bigint")
+    return lo.in_reading_order(_lines(t), "doc_id", 1000.0)
 
 
 BAD = " or ".join(f"contains(t, '{w}')" for w in tx.TITLE_BAD_WORDS)

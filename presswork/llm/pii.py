@@ -234,9 +234,16 @@ def checked(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int
                 found[at] = kind
                 names.add(text[at[0] : at[1]])
             continue
+        rest = [(s, e)]
         for m in forms.FORMS[kind].finditer(text, max(0, s - 64), min(len(text), e + 64)):
             if m.start() < e and m.end() > s:
                 found[m.span()] = kind
+                a, b = rest.pop()
+                rest += [(a, min(b, m.start())), (max(a, m.end()), b)]
+        for a, b in rest:  # what a decoded span holds besides may be a name that was drawn into it
+            m = forms.NAME_ALONE.fullmatch(text, a, b) if b - a >= 3 else None
+            if m:
+                found.setdefault(m.span(1), "name")
     for name in names:
         at = text.find(name)
         while at >= 0:

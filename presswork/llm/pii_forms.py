@@ -55,3 +55,5 @@ NAME_SHAPE = regex.compile(rf"(?<![가-힣])[{FAMILY}]\s?[가-힣]{{2}}|(?<![가
 FORMS = {"email": EMAIL, "phone": PHONE, "id_number": ID_NUMBER, "address": ADDRESS}
 #: What makes a name-like word something else: a building, a road, a town.
 NOT_A_PERSON = regex.compile(r"\s?(?:아파트|빌라|타워|빌딩|초등학교|중학교|고등학교|도서관|공원|대로|로\s?[0-9]|길\s?[0-9])")
+#: A name with nothing but spaces around it, and no town, village or road.
+NAME_ALONE = regex.compile(rf"\s*((?<![가-힣])[{FAMILY_COMMON}]\s?[가-힣][가-힣](?<![동리읍면시군구로길])(?![가-힣]))\s*")

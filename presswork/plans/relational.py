@@ -25,9 +25,9 @@ def _date(c: str = "published_date") -> F.Column:
 
 
 @R.add(f"""select p.id, {DATE.format(d='p.published_date')} published_date, p.title, {PREVIEW.format(c='p.content')} preview, {NAME.format(p='m.press_company', l='m.login_id')} admin_name
-from papers p left join admins m on p.admin_id = m.id where coalesce({MATCH.format(q='급식')}, false)""")
+from papers p left join admins m on p.admin_id = m.id where coalesce({MATCH.format(q='신문')}, false)""")
 def q_publication_search(t: Tables) -> DataFrame:
-    hits = search.publications(t.papers, t.articles, q="급식")
+    hits = search.publications(t.papers, t.articles, q="신문")
     return search.summaries(hits, t.admins).withColumn("published_date", F.date_format("published_date", "yyyy-MM-dd"))
 
 

@@ -14,8 +14,37 @@ from presswork.functions.vector import l2, score
 QUERY_BLOCK = 2048
 
 
+#: Vectors that are held against the queries at once, and pairs whose exact distance is taken at once.
+CHUNK, EXACT = 1024, 1 << 16
+
+
+def _limit(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Per row of ``d`` the k-th least value of different ids (inf where there are fewer)."""
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
+    if len(first) < len(ids):
+        d = np.minimum.reduceat(d[:, order], first, axis=1)
+    return np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(d), np.inf)
+
+
+def _least(row: np.ndarray, d: np.ndarray, i: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """row, distance, id, rank of the k least (distance, id) of each row, an id once."""
+    order = np.lexsort((d, i, row))
+    row, d, i = row[order], d[order], i[order]
+    once = np.r_[True, (np.diff(row) != 0) | (np.diff(i) != 0)]
+    row, d, i = row[once], d[once], i[once]
+    order = np.lexsort((i, d, row))
+    row, d, i = row[order], d[order], i[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    top = rank < k
+    return row[top], d[top], i[top], rank[top]
+
+
 def _block_search(ids: np.ndarray, q: np.ndarray, k: int, exclude_self: bool):
-    """Top k per query within a partition; distances by differences, in double."""
+    """Top k per query within a partition, an id once; distances by differences, in double.
+
+    The expanded distance only leaves out what is surely beyond the k-th: all within its rounding
+    error of the k-th, however many tie there, are ordered by (exact distance, id)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -32,18 +61,26 @@ def _block_search(ids: np.ndarray, q: np.ndarray, k: int, exclude_self: bool):
             kept = col.filter(pa.array(fits))
             v = kept.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, q.shape[1])
             vid = b.column(0).filter(pa.array(fits)).to_numpy(zero_copy_only=False).astype(np.int64)
-            for s in range(0, len(vid), 1024):
-                part, pid = v[s : s + 1024], vid[s : s + 1024]
-                d = np.maximum(square[:, None] - 2.0 * (q @ part.T) + (part * part).sum(1), 0.0)
+            finite = np.isfinite(v).all(1)
+            v, vid = v[finite], vid[finite]
+            for s in range(0, len(vid), CHUNK):
+                part, pid = v[s : s + CHUNK], vid[s : s + CHUNK]
+                own = (part * part).sum(1)
+                d = np.maximum(square[:, None] - 2.0 * (q @ part.T) + own, 0.0)
                 if exclude_self:
                     d[ids[:, None] == pid[None, :]] = np.inf
-                n = min(k + 4, d.shape[1])  # some to spare: near-ties are settled by exact distances
-                near = np.argpartition(d, n - 1, axis=1)[:, :n]
-                exact = np.sqrt(((part[near] - q[:, None, :]) ** 2).sum(2))
-                exact[np.isinf(np.take_along_axis(d, near, 1))] = np.inf
-                all_d, all_i = np.hstack([best_d, exact]), np.hstack([best_i, pid[near]])
-                order = np.lexsort((all_i, all_d), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
+                margin = 8 * (q.shape[1] + 8) * np.finfo(float).eps * (square + own.max())
+                limit = np.minimum(_limit(d, pid, k), best_d[:, -1] ** 2) + margin
+                row, at = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+                if not len(row):
+                    continue
+                exact = np.concatenate([np.sqrt(((part[at[e : e + EXACT]] - q[row[e : e + EXACT]]) ** 2).sum(1)) for e in range(0, len(row), EXACT)])
+                old = np.repeat(np.unique(row), k)
+                rank = np.tile(np.arange(k), len(old) // k)
+                there = np.isfinite(best_d[old, rank])
+                old, rank = old[there], rank[there]
+                row, exact, near, rank = _least(np.r_[row, old], np.r_[exact, best_d[old, rank]], np.r_[pid[at], best_i[old, rank]], k)
+                best_d[row, rank], best_i[row, rank] = exact, near
         hit = np.isfinite(best_d)
         rows = np.broadcast_to(ids[:, None], hit.shape)[hit]
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(best_i[hit], pa.int64()), pa.array(best_d[hit], pa.float64())], ["query_id", "id", "distance"])
@@ -54,7 +91,7 @@ def _block_search(ids: np.ndarray, q: np.ndarray, k: int, exclude_self: bool):
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 3, exclude_self: bool = True) -> DataFrame:
     """query_id, id, distance, rank of the k nearest vectors of each query, exact; ties by id.
 
-    Both have id and vector. Null vectors, and vectors of another length than a query's, are near
+    An id that has several rows is one neighbour, at its least distance. Both have id and vector. Null vectors, and vectors of another length than a query's, are near
     to nothing. Queries go out in blocks of at most QUERY_BLOCK; the vectors are never shuffled,
     only k rows per query and partition are."""
     queries = queries.select("id", "vector").filter("id is not null and vector is not null and size(vector) > 0")
@@ -74,7 +111,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 3, exclude_self: bo
     for p in parts[1:]:
         found = found.unionByName(p)
     w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return found.distinct().withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
+    found = found.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
+    return found.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
 
 
 def nearest_to(vectors: DataFrame, target: list[float], k: int = 3) -> DataFrame:

@@ -75,6 +75,24 @@ def test_nearest_is_brute_force(spark):
     assert ve.nearest(d.limit(0), d, 3).count() == 0
 
 
+def test_nearest_settles_ties_and_repeated_rows(spark):
+    rng = np.random.default_rng(2)
+    v = rng.integers(0, 3, (2500, 4)).astype(float)
+    v[rng.permutation(2500)[:900]] = v[50]  # a third of all are one vector
+    rows = [(i, [float(x) for x in v[i]]) for i in rng.permutation(2500).tolist()]
+    rows += [rows[0]] * 20 + [(i, x) for i, x in rows if i < 200] * 3 + [(7, [9.0, 9.0, 9.0, 9.0]), (8, [float("nan")] * 4)]
+    d = spark.createDataFrame(rows, "id bigint, vector array<double>")
+    q = spark.createDataFrame([(i, x) for i, x in rows[:2500] if i % 50 == 0], "id bigint, vector array<double>")
+    for k, parts in ((3, 1), (12, 3)):
+        got = {}
+        for r in ve.nearest(q, d.repartition(parts), k).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.id))
+        for i in range(0, 2500, 50):
+            dist = np.sqrt(((v - v[i]) ** 2).sum(1))
+            dist[i] = np.inf
+            assert [x for _, x in sorted(got[i])] == sorted(range(2500), key=lambda j: (dist[j], j))[:k]
+
+
 def test_checked_join_is_a_join_on_either_way(spark):
     left = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k int, x string")
     right = spark.createDataFrame([(1, 10), (3, 30)], "k int, y int")

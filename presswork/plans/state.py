@@ -160,6 +160,5 @@ def stream_progress(t: Tables) -> DataFrame:
 
 @R.add("select epoch_us(date_trunc('day', ts)) start_us, event_type emotion_type, count(*) n from events group by 1, 2")
 def stream_daily_counts(t: Tables) -> DataFrame:
-    log = em.emotion_log(live.read_stream(t.spark, t.dir, "events"))
-    got = live.available_now(live.windowed_counts(log), "update", ["start", "emotion_type"])
+    got = live.folded_now(live.read_stream(t.spark, t.dir, "events"), live.fold_daily)
     return got.select(F.unix_micros("start").alias("start_us"), "emotion_type", "n")

@@ -42,11 +42,17 @@ def reaction_states(log: DataFrame) -> DataFrame:
 
 
 def windowed_counts(log: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
-    """day, emotion_type, n: tumbling windows; rows later than ``late`` are left out by the watermark."""
+    """start, emotion_type, n: tumbling windows, for a stream in about the order of time; rows later than
+    ``late`` are left out by the watermark (``left_out`` counts them). ``fold_daily`` takes any order."""
     d = log.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
     return d.groupBy(F.window("at", width).alias("w"), "emotion_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "emotion_type", "n")
 
 
+def left_out(log: DataFrame, counts: DataFrame) -> int:
+    """How many rows of ``log``, the whole table that was streamed, ``windowed_counts`` hasn't counted."""
+    return log.count() - (counts.agg(F.sum("n")).first()[0] or 0)
+
+
 def _progress(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
@@ -128,5 +134,11 @@ def fold_progress(prev: DataFrame | None, log: DataFrame) -> DataFrame:
     return top.select("job_id", "m.ts", "m.seq", "m.status", "m.progress")
 
 
+def fold_daily(prev: DataFrame | None, events: DataFrame) -> DataFrame:
+    """start, emotion_type, n: rows of each day so far, whatever order they come in."""
+    n = events.groupBy(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("start"), F.col("event_type").alias("emotion_type")).agg(F.count("*").alias("n"))
+    return n if prev is None else prev.unionByName(n).groupBy("start", "emotion_type").agg(F.sum("n").alias("n"))
+
+
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

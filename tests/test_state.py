@@ -1,9 +1,12 @@
 """Reactions, keywords and vectors against plain Python."""
 
 import datetime as dt
+import os
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from presswork.operators import emotions as em
 from presswork.operators import keywords as kw
@@ -49,6 +52,29 @@ def test_state_folded_by_batches_is_the_whole(spark):
     assert {(r.article_id, r.user_identifier): r.emotion_type for r in prev.collect()} == plain(rows)[0]
 
 
+def test_daily_counts_are_whole_over_late_files(spark, tmp_path):
+    """40 files of a day each, the last days first: three micro-batches."""
+    from presswork.plans.state import QUERIES
+
+    os.mkdir(tmp_path / "events.parquet")
+    want = {}
+    for n in range(40):
+        day = dt.datetime(2024, 3, 1) - dt.timedelta(days=n // 2)
+        kinds = ["view", "click", "view"] if n % 2 else ["view"]
+        at = f"{tmp_path}/events.parquet/{n:02}.parquet"
+        pq.write_table(pa.table({"event_id": [3 * n + i for i in range(len(kinds))], "user_id": [1] * len(kinds), "event_type": kinds, "props": pa.array(['{"k": 5}', "{}", None][: len(kinds)], pa.string()), "ts": pa.array([day + dt.timedelta(hours=i) for i in range(len(kinds))], pa.timestamp("us"))}), at)
+        os.utime(at, (1_700_000_000 + n, 1_700_000_000 + n))
+        for e in kinds:
+            key = int((day - dt.datetime(1970, 1, 1)).total_seconds()) * 1_000_000, e
+            want[key] = want.get(key, 0) + 1
+    got = QUERIES["stream_daily_counts"](spark, str(tmp_path)).collect()
+    assert {(r.start_us, r.emotion_type): r.n for r in got} == want and len(got) == len(want)
+    log = lambda d: d.withColumnRenamed("event_type", "emotion_type")
+    late = live.available_now(live.windowed_counts(log(live.read_stream(spark, str(tmp_path), "events"))), "update", ["start", "emotion_type"])
+    whole = spark.read.parquet(f"{tmp_path}/events.parquet")
+    assert live.left_out(whole, late) == sum(want.values()) - sum(r.n for r in late.collect()) > 0
+
+
 def test_keywords(spark):
     names = spark.createDataFrame([(" 새말 ",), ("새말",), ("",), (None,), ("헌말",)], "name string")
     old = spark.createDataFrame([(7, "헌말")], "id bigint, name string")

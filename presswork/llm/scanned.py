@@ -28,6 +28,10 @@ from presswork.session import spread, stage
 WIDTH = 1 << 21
 #: Share of characters that are misread, before the corpus says more.
 NOISE = 0.003
+#: Tokens of more characters are read as words without spaces, each of at most JOINED characters.
+LONG, JOINED = 40, 12
+#: Log odds: of another word than the printed one, and of one more character of an unknown word.
+MARGIN, UNKNOWN = 4, 7
 
 # Signs that stand for a character that couldn't be read.
 BLOTS = "□■¿�"
@@ -117,7 +121,7 @@ class Tally:
         if w is None:
             if len(self.cache) > 1_000_000:
                 self.cache.clear()
-            w = self.cache[x] = "" if _ADDRESS.search(x) else bare(x)[:40]
+            w = self.cache[x] = "" if _ADDRESS.search(x) else bare(x)
         return w
 
     def add(self, texts: list[str | None]) -> None:
@@ -248,24 +252,48 @@ class Channel:
                     if y and have.get(y, -1e9) < p + q:
                         have[y] = p + q
                         nxt.append((y, p + q))
-            todo = nxt[:200]
+            todo = nxt
         own = c.word(w)
         # what the misprints of the candidates explain isn't evidence for the printed word
-        explained = sum(c.word(y) * math.exp(p) for y, p in have.items() if y != w)
+        met = [(y, p, n) for y, p in have.items() if y != w and (n := c.word(y))]
+        explained = sum(n * math.exp(p) for _, p, n in met)
         real = max(own - 3 * explained, 0.0)
         got = [(w, self.keep + math.log((real + 0.02) / c.total) if real > 0 else self.keep + math.log(0.02 / c.total))]
-        for y, p in have.items():
-            if y != w:
-                n = c.word(y)
-                if n >= 3:
-                    got.append((y, p + math.log(n / c.total)))
-        got = [got[0], *sorted(got[1:], key=lambda x: -x[1])[:5]]
+        got += [(y, p + math.log(n / c.total)) for y, p, n in met if n >= 3]
+        got = [got[0], *sorted(got[1:], key=lambda x: -x[1])]
         if len(self.cache) > 500_000:
             self.cache.clear()
         self.cache[w] = got
         return got
 
 
+    def joined(self, w: str) -> str:
+        """The likeliest reading of words without spaces between them: Viterbi over the places where
+        words may part. What the corpus doesn't know costs by its length, and another word than the
+        printed one must be likelier by the margin that a single word needs."""
+        best: list[tuple[float, int, str]] = [(0.0, 0, "")]
+        for i in range(1, len(w) + 1):
+            top = (-math.inf, 0, "")
+            for j in range(max(0, i - JOINED), i):
+                part = w[j:i]
+                (_, own), *rest = self.candidates(part)
+                if not self.c.word(part):
+                    own -= UNKNOWN * (len(part) - 1)
+                read, p = part, own
+                for x, q in rest:
+                    if q - MARGIN > p:
+                        read, p = x, q - MARGIN
+                if best[j][0] + p > top[0]:
+                    top = (best[j][0] + p, j, read)
+            best.append(top)
+        got, i = [], len(w)
+        while i:
+            _, j, read = best[i]
+            got.append(read)
+            i = j
+        return "".join(got[::-1])
+
+
 class Reader:
     """Kinds of noise in the lines of a text."""
 
@@ -327,18 +355,20 @@ class Reader:
             w = "" if _ADDRESS.search(token) else bare(token)
             if any(b in w for b in "¿�") or _JAMO.search(w) or (len(w) > 1 and any(b in w for b in "□■")):
                 known = False
-            elif not any(x.isalpha() for x in w) or len(w) > 40:
+            elif not any(x.isalpha() for x in w):
                 known = True
+            elif len(w) > LONG:
+                known = self.channel.joined(w) == w
             else:
                 got = self.channel.candidates(w)
-                known = len(got) == 1 or got[0][1] >= max(p for _, p in got[1:]) + 4
+                known = len(got) == 1 or got[0][1] >= max(p for _, p in got[1:]) + MARGIN
             self.plain[token] = known
         return known
 
     def decode(self, tokens: list[str]) -> list[str]:
         """Viterbi over the candidates of each word; blots are told without the corpus."""
         words = [bare(t) for t in tokens]
-        layers = [[(w, 0.0)] if self._is_plain(t) else self.channel.candidates(w) for t, w in zip(tokens, words)]
+        layers = [[(w, 0.0)] if self._is_plain(t) else [(self.channel.joined(w), 0.0)] if len(w) > LONG else self.channel.candidates(w) for t, w in zip(tokens, words)]
         best = [p for _, p in layers[0]]
         back: list[list[int]] = []
         for a, b in zip(layers, layers[1:]):

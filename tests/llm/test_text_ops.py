@@ -111,6 +111,36 @@ def test_noise_lines(spark):
     assert not {g for g in got if g[2] == 4 or g[:2] == ("articles.title", 2) or g[0] == "articles.content" and g[1] < 60}
 
 
+def known_counts(text, learned):
+    tally = scanned.Tally()
+    tally.add([text] * 60)
+    keys = tally.keys()
+    table = np.zeros(2 * scanned.WIDTH, np.int32)
+    for k, n in keys.items():
+        for at in scanned.slots(k):
+            table[at] += n
+    return scanned.Counts(table, keys["#"], learned)
+
+
+def test_words_without_spaces_are_read():
+    text = "주민자치회는 도서관 자료를 모았다 참여율을 묻는 조사에서 응답자들은 관심을 모았다"
+    reader = scanned.Reader(known_counts(text, {("을", "올"): 0.001}), [])
+    clean = text.replace(" ", "") * 2
+    bad = clean[:40] + clean[40:].replace("참여율을", "참여율올")
+    assert len(clean) > 60 and bad != clean
+    assert reader.kinds(clean) == [] and reader.kinds(bad) == [(1, "misread")]
+    assert reader.repaired(f"{bad}.") == f"{clean}."
+    tally = scanned.Tally()
+    tally.add([clean])
+    assert tally.keys()["w" + clean] == 1
+
+
+def test_all_known_candidates_are_kept():
+    true = "가나다라마바사"
+    channel = scanned.Channel(known_counts(" ".join(f"{x}말" for x in true), {(x, "하"): 0.001 for x in true}))
+    assert {w for w, _ in channel.candidates("하말")} == {"하말", *(f"{x}말" for x in true)}
+
+
 def test_repaired(spark):
     got = {(r.field, r.id): r.text for r in scanned.repaired(noisy(spark), ["가람일보"]).collect()}
     assert got["papers.content", 1].split("\n")[0].startswith("주민자치회는 도서관 자료를 모았다. 관심을 모았다.")

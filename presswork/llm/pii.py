@@ -1,11 +1,10 @@
 """Problem 3: personal information, by a character-level bidirectional LSTM with CRF transitions.
 
 The model is trained by ``pii_train`` (numpy) from labelled spans; its weights lie beside this
-module. Every text is cut into overlapping windows, each window is decoded by Viterbi, and the
-spans of all windows of a text are reconciled: where windows overlap, each is believed up to the
-middle of the overlap, a span on the border is joined, and a name found once is looked for in the
-whole text. A decoded span is then held against the written forms of its kind, which fixes where it
-begins and ends, or refuses it; forms without a decoded span give nothing."""
+module. Every text is cut into overlapping windows; the windows' scores are put together, each
+believed up to the middle of an overlap, and the best path is found through the whole text at once,
+so windows can't disagree. What is found, and where it begins and ends, is the network's decision
+alone: no word list or pattern adds, moves or refuses a span (``kept`` says what little is checked)."""
 
 from __future__ import annotations
 
@@ -15,22 +14,24 @@ from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm import pii_forms as forms
 from presswork.session import spread
 
-KINDS = forms.KINDS
+KINDS = ["email", "phone", "id_number", "address", "name"]
 TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
+#: What can't follow: an I after anything but the B or I of its kind.
+BARRED = np.where([[b[0] == "I" and a[1:] != b[1:] for b in TAGS] for a in TAGS], np.float32(-1e4), np.float32(0))
 WINDOW, OVERLAP = 256, 32
+#: Windows to a batch; a batch is filled up, so its shape and with it every rounding is the same.
+BATCH = 256
+#: A text is decoded in pieces of so many characters, that share MARGIN characters with the next.
+PIECE, MARGIN = 16384, 512
 WEIGHTS = Path(__file__).with_name("pii_weights.npz")
-#: Added to the score of O: below 0 the decoder leans to finding, as the forms check what it finds.
-LEAN = -1.0
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
-_CLASSES = 8
+CLASSES = 8
 
 
 def char_class(c: int) -> int:
@@ -59,112 +60,120 @@ def folded(points: np.ndarray) -> np.ndarray:
     return p
 
 
-def _tanh(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """tanh of x in place by a continued fraction (within 4e-4), with two work arrays; numpy's own
-    takes half of the decoder's time."""
-    np.clip(x, -3.6, 3.6, out=x)
-    np.multiply(x, x, out=a)
-    np.add(a, 105, out=b)
-    np.multiply(b, a, out=b)
-    np.add(b, 945, out=b)
-    np.multiply(x, b, out=x)
-    np.multiply(a, 15, out=b)
-    np.add(b, 420, out=b)
-    np.multiply(b, a, out=b)
-    np.add(b, 945, out=b)
-    np.divide(x, b, out=x)
-
-
 class Tagger:
-    """Weights, and tagging of batches of windows."""
+    """Weights, and tagging of texts.
+
+    Both directions run at once: the backward one reads each window from its end, so that what a
+    short window is filled up with comes after it for either and changes nothing."""
 
     def __init__(self, w: dict[str, np.ndarray]) -> None:
         chars = w["chars"]
         top = int(max(chars.max(), 0xFFFF)) + 1
         self.ids = np.fromiter((char_class(c) for c in range(top)), np.int32, top)
-        self.ids[chars] = np.arange(len(chars), dtype=np.int32) + _CLASSES
-        self.hidden = w["uf"].shape[0]
-        self.work: dict[str, np.ndarray] = {}
+        self.ids[chars] = np.arange(len(chars), dtype=np.int32) + CLASSES
+        k = self.hidden = w["u"].shape[1]
         emb = w["emb"].astype(np.float32)
-        # the input's part of the gates, looked up by character; sigmoids as tanh of the half
-        half = np.ones(4 * self.hidden, np.float32)
-        half[: 3 * self.hidden] = 0.5
-        self.x = [((emb @ w[f"w{d}"] + w[f"b{d}"]) * half).astype(np.float32) for d in "fb"]
-        self.u = [(w[f"u{d}"] * half).astype(np.float32) for d in "fb"]
-        self.out, self.bias, self.trans = (w[k].astype(np.float32) for k in ("out", "bias", "trans"))
-        self.bias = self.bias + np.eye(len(TAGS), dtype=np.float32)[0] * LEAN
+        # One product gives all gates from state, character and 1 (for the bias), one column for each
+        # window. The cell and its candidate are held as halves (the candidate moved to 0 .. 1), so
+        # that one clip serves all gates; the weights that read the state are doubled for it.
+        half = np.repeat(np.asarray([1, 0.5], np.float32), [3 * k, k])[:, None]
+        self.emb = np.ascontiguousarray(np.concatenate([emb, np.ones((len(emb), 1), np.float32)], 1).T)
+        u, x, b = (w[name].astype(np.float32).transpose(0, 2, 1) for name in "uwb")
+        self.mix = np.concatenate([2 * u * half, x * half, b * half], 2)
+        self.mix[:, 3 * k :, -1] += 0.5
+        self.out = 2 * w["out"].astype(np.float32).transpose(0, 2, 1)
+        self.bias, self.trans = w["bias"].astype(np.float32), w["trans"].astype(np.float32) + BARRED
+        self.state = np.zeros((2, self.mix.shape[2], BATCH), np.float32)
+        self.g = np.empty((2, 4 * k, BATCH), np.float32)
+        self.c, self.new = np.empty((2, k, BATCH), np.float32), np.empty((2, k, BATCH), np.float32)
 
     def encode(self, text: str) -> np.ndarray:
         p = folded(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64))
         return self.ids[np.where(p < len(self.ids), p, 0xFFFF)]
 
-    def _room(self, name: str, *shape: int) -> np.ndarray:
-        """A float32 work array that is kept between calls."""
-        n = int(np.prod(shape))
-        have = self.work.get(name)
-        if have is None or len(have) < n:
-            have = self.work[name] = np.empty(n, np.float32)
-        return have[:n].reshape(shape)
-
-    def _emit(self, ids: np.ndarray, d: int, e: np.ndarray) -> None:
-        """Add one direction's part of the tag scores to e (time, batch, tags)."""
-        t, n = ids.shape
-        k = self.hidden
-        out = self.out[d * k : (d + 1) * k]
-        g, hu = self._room("g", n, 4 * k), self._room("hu", n, 4 * k)
-        h, c, tc, part = self._room("h", n, k), self._room("c", n, k), self._room("tc", n, k), self._room("e", n, len(TAGS))
+    def scores(self, ids: np.ndarray) -> np.ndarray:
+        """Tag scores (direction, time and batch, tags) of ids (time, direction, batch)."""
+        t, k = len(ids), self.hidden
+        g, c, new, h = self.g, self.c, self.new, self.state[:, :k]
+        gi, gf, go, gg = (g[:, i * k : (i + 1) * k] for i in range(4))
+        read = [self.state[d, k:] for d in (0, 1)]
+        e = np.empty((t, 2, len(TAGS), BATCH), np.float32)
         h[:], c[:] = 0, 0
-        a, b, a1, b1 = self._room("a", n, 4 * k), self._room("b", n, 4 * k), self._room("a1", n, k), self._room("b1", n, k)
-        gates, gi, gf, go, gg = g[:, : 3 * k], g[:, :k], g[:, k : 2 * k], g[:, 2 * k : 3 * k], g[:, 3 * k :]
-        for i in range(t) if d == 0 else range(t - 1, -1, -1):
-            np.take(self.x[d], ids[i], axis=0, out=g, mode="clip")
-            np.matmul(h, self.u[d], out=hu)
-            np.add(g, hu, out=g)
-            _tanh(g, a, b)
-            np.multiply(gates, 0.5, out=gates)
-            np.add(gates, 0.5, out=gates)
+        for i in range(t):
+            for d in (0, 1):
+                np.take(self.emb, ids[i, d], axis=1, out=read[d], mode="clip")
+            np.matmul(self.mix, self.state, out=g)
+            np.clip(g, 0, 1, out=g)
             np.multiply(c, gf, out=c)
-            np.multiply(gi, gg, out=tc)
-            np.add(c, tc, out=c)
-            np.copyto(tc, c)
-            _tanh(tc, a1, b1)
-            np.multiply(go, tc, out=h)
-            np.matmul(h, out, out=part)
-            np.add(e[i], part, out=e[i])
-
-    def tags(self, ids: np.ndarray) -> np.ndarray:
-        """Best tags (time, batch) by Viterbi.
-
-        A window in which O leads every other tag by more than all transitions could make up for
-        is O throughout; only the others are decoded."""
-        t, n = ids.shape
-        e = self._room("scores", t, n, len(TAGS))
-        e[:] = self.bias
-        self._emit(ids, 0, e)
-        self._emit(ids, 1, e)
-        got = np.zeros((t, n), np.int8)
-        reach = 2 * float(self.trans.max() - min(self.trans[0, 0], self.trans.max()))
-        open_ = np.flatnonzero(((e[:, :, 0] - e[:, :, 1:].max(2)) <= reach).any(0))
-        if len(open_):
-            got[:, open_] = self._viterbi(np.ascontiguousarray(e[:, open_]))
-        return got
-
-    def _viterbi(self, e: np.ndarray) -> np.ndarray:
-        t, n, k = e.shape
-        back = np.empty((t, n, k), np.int8)
-        s = self._room("steps", n, k, k)
-        into = np.ascontiguousarray(self.trans.T)  # (to, from)
-        best = e[0].copy()
-        for i in range(1, t):
-            np.add(best[:, None, :], into, out=s)
-            back[i] = s.argmax(2)
-            np.max(s, axis=2, out=best)
-            np.add(best, e[i], out=best)
-        got = np.empty((t, n), np.int8)
-        got[-1] = best.argmax(1)
-        rows = np.arange(n)
-        for i in range(t - 1, 0, -1):
-            got[i - 1] = back[i, rows, got[i]]
+            np.subtract(gg, 0.5, out=new)
+            np.multiply(gi, new, out=new)
+            np.add(c, new, out=c)
+            np.clip(c, -0.5, 0.5, out=c)
+            np.multiply(go, c, out=h)
+            np.matmul(self.out, h, out=e[i])
+        return np.ascontiguousarray(e.transpose(1, 0, 3, 2)).reshape(2, t * BATCH, len(TAGS))
+
+    def emissions(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Tag scores of every character of texts that lie one after the other in ``codes``, from
+        overlapping windows: each is believed up to the middle of an overlap."""
+        at, size, lead, tail = [], [], [], []
+        for s, n in zip(starts.tolist(), sizes.tolist()):
+            for a in range(0, max(1, n - OVERLAP), WINDOW - OVERLAP):
+                m = min(WINDOW, n - a)
+                at.append(s + a), size.append(m)
+                lead.append(OVERLAP // 2 if a else 0), tail.append(0 if a + m == n else OVERLAP // 2)
+        out = np.empty((len(codes), len(TAGS)), np.float32)
+        at, size, lead, tail = (np.asarray(x, np.int64) for x in (at, size, lead, tail))
+        order = np.argsort(size, kind="stable")
+        for b in range(0, len(order), BATCH):
+            part = order[b : b + BATCH]
+            n, t = len(part), int(size[part[-1]])
+            a, z = at[part], size[part]
+            time = np.arange(t)[:, None]
+            inside = time < z
+            ids = np.zeros((t, 2, BATCH), np.int64)
+            ids[:, 0, :n] = np.where(inside, codes[np.minimum(a + time, len(codes) - 1)], 0)
+            ids[:, 1, :n] = np.where(inside, codes[np.maximum(a + z - 1 - time, 0)], 0)
+            e = self.scores(ids)
+            i, k = np.nonzero((time >= lead[part]) & (time < z - tail[part]))
+            got = np.take(e[0], i * BATCH + k, axis=0)
+            got += np.take(e[1], (z[k] - 1 - i) * BATCH + k, axis=0)
+            out[a[k] + i] = got
+        out += self.bias
+        return out
+
+    def viterbi(self, e: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Best tags of every character, decoded over whole pieces (rows of e from a start on)."""
+        got = np.zeros(len(e), np.int8)
+        order = np.argsort(-sizes, kind="stable")
+        b = 0
+        while b < len(order):
+            t = int(sizes[order[b]])
+            part = order[b : b + max(8, min(256, (1 << 19) // max(t, 1)))]
+            b += len(part)
+            n, long = len(part), sizes[part]
+            active = (long[None, :] > np.arange(t)[:, None]).sum(1)  # the pieces are sorted, longest first
+            x = np.empty((t, len(TAGS), n), np.float32)
+            for k, p in enumerate(part.tolist()):
+                x[: sizes[p], :, k] = e[starts[p] : starts[p] + sizes[p]]
+            x[0, 2::2] = -1e4
+            step, best = np.empty((len(TAGS), len(TAGS), n), np.float32), np.empty((len(TAGS), n), np.float32)
+            for i in range(1, t):  # x becomes the score of the best path up to i
+                m = int(active[i])
+                np.add(x[i - 1, :, None, :m], self.trans[:, :, None], out=step[:, :, :m])
+                np.max(step[:, :, :m], axis=0, out=best[:, :m])
+                np.add(x[i, :, :m], best[:, :m], out=x[i, :, :m])
+            tags = np.zeros((t, n), np.int8)
+            cur = np.zeros(n, np.int64)
+            for i in range(t - 1, -1, -1):
+                m, held = int(active[i]), int(active[i + 1]) if i + 1 < t else 0
+                if held:
+                    cur[:held] = (x[i, :, :held] + self.trans[:, cur[:held]]).argmax(0)
+                if m > held:
+                    cur[held:m] = x[i, :, held:m].argmax(0)
+                tags[i, :m] = cur[:m]
+            for k, p in enumerate(part.tolist()):
+                got[starts[p] : starts[p] + sizes[p]] = tags[: sizes[p], k]
         return got
 
 
@@ -175,86 +184,62 @@ def tagger(weights: bytes) -> Tagger:
         return Tagger({k: w[k] for k in w.files})
 
 
-def tag_texts(t: Tagger, texts: list[str], batch: int = 256) -> list[np.ndarray]:
-    """Tags of every character of every text, from overlapping windows."""
-    step = WINDOW - OVERLAP
-    codes = [t.encode(x) for x in texts]
-    out = [np.zeros(len(c), np.int8) for c in codes]
-    jobs = [(i, s) for i, c in enumerate(codes) for s in range(0, max(1, len(c) - OVERLAP), step) if len(c)]
-    jobs.sort(key=lambda j: min(WINDOW, len(codes[j[0]]) - j[1]))  # like lengths together
-    for a in range(0, len(jobs), batch):
-        part = jobs[a : a + batch]
-        width = max(min(WINDOW, len(codes[i]) - s) for i, s in part)
-        ids = np.zeros((width, len(part)), np.int32)
-        for k, (i, s) in enumerate(part):
-            c = codes[i][s : s + width]
-            ids[: len(c), k] = c
-        got = t.tags(ids)
-        for k, (i, s) in enumerate(part):
-            lead = 0 if s == 0 else OVERLAP // 2
-            end = min(s + WINDOW, len(codes[i]))
-            stop = end if end == len(codes[i]) else end - OVERLAP // 2
-            out[i][s + lead : stop] = got[lead : stop - s, k]
+def tag_texts(t: Tagger, texts: list[str], most: int = 1 << 20) -> list[np.ndarray]:
+    """Tags of every character of every text: the scores of overlapping windows are put together,
+    and one best path is found through the whole text (of texts longer than PIECE, through pieces
+    that share a margin). A text's tags don't depend on the texts beside it."""
+    out = [np.zeros(len(x), np.int8) for x in texts]
+    pieces: list[tuple[int, int, int, int, np.ndarray]] = []
+    held = 0
+
+    def decode() -> None:
+        sizes = np.asarray([len(c) for *_, c in pieces], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        e = t.emissions(np.concatenate([c for *_, c in pieces]), starts, sizes)
+        tags = t.viterbi(e, starts, sizes)
+        for (i, a, end, lead, _), s in zip(pieces, starts.tolist()):
+            out[i][a:end] = tags[s + lead : s + lead + end - a]
+        pieces.clear()
+
+    for i, x in enumerate(texts):
+        for a in range(0, len(x), PIECE):
+            lead, end = min(a, MARGIN), min(len(x), a + PIECE)
+            pieces.append((i, a, end, lead, t.encode(x[a - lead : end + MARGIN])))
+            held += end - a
+            if held >= most:
+                decode()
+                held = 0
+    if pieces:
+        decode()
     return out
 
 
 def decoded_spans(tags: np.ndarray) -> list[tuple[int, int, int]]:
     """(kind, start, end) of runs of one kind; a B within begins another."""
-    kind = (tags.astype(np.int64) + 1) // 2  # 0 is O
-    begin = (tags % 2 == 1) & (tags > 0)
-    if not kind.any():
-        return []
-    change = np.flatnonzero(np.r_[True, (kind[1:] != kind[:-1]) | begin[1:]])
-    ends = np.r_[change[1:], len(tags)]
-    return [(int(kind[s]) - 1, int(s), int(e)) for s, e in zip(change, ends) if kind[s]]
-
-
-def _name_at(text: str, s: int, e: int) -> tuple[int, int] | None:
-    """The full name that a decoded span lies on, if its written form is one."""
-    for m in forms.LATIN_NAME.finditer(text, max(0, s - 24), min(len(text), e + 24)):
-        if m.start() < e and m.end() > s:
-            return m.span()
-    near = [m for m in forms.NAME_SHAPE.finditer(text, max(0, s - 4), min(len(text), e + 4), overlapped=True) if m.start() < e and m.end() > s and m.end() - m.start() <= e - s + 2]
-    if near:
-        m = min(near, key=lambda m: abs(m.start() - s) + abs(m.end() - e))
-        if not forms.NOT_A_PERSON.match(text, m.end()):
-            return m.span()
-    return None
-
-
-def checked(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of decoded spans whose written form bears them out, without overlaps."""
-    found: dict[tuple[int, int], str] = {}
-    names = set()
+    at = np.flatnonzero(tags)
+    out: list[tuple[int, int, int]] = []
+    for i, t in zip(at.tolist(), tags[at].tolist()):
+        k = (t - 1) // 2
+        if t % 2 == 0 and out and out[-1][0] == k and out[-1][2] == i:
+            out[-1] = (k, out[-1][1], i + 1)
+        else:
+            out.append((k, i, i + 1))
+    return out
+
+
+def kept(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of decoded spans, without spaces at either end. The only check: a span
+    holds what its kind can't be without, letters for a name or address of mail, a digit (spoken
+    ones count for a phone) else, and a name at least two letters."""
+    out = []
     for k, s, e in spans:
-        kind = KINDS[k]
-        if kind == "name":
-            at = _name_at(text, s, e)
-            if at:
-                found[at] = kind
-                names.add(text[at[0] : at[1]])
-            continue
-        rest = [(s, e)]
-        for m in forms.FORMS[kind].finditer(text, max(0, s - 64), min(len(text), e + 64)):
-            if m.start() < e and m.end() > s:
-                found[m.span()] = kind
-                a, b = rest.pop()
-                rest += [(a, min(b, m.start())), (max(a, m.end()), b)]
-        for a, b in rest:  # what a decoded span holds besides may be a name that was drawn into it
-            m = forms.NAME_ALONE.fullmatch(text, a, b) if b - a >= 3 else None
-            if m:
-                found.setdefault(m.span(1), "name")
-    for name in names:
-        at = text.find(name)
-        while at >= 0:
-            end = at + len(name)
-            alone = (at == 0 or not (text[at - 1].isalpha() or text[at - 1] == "-")) and not (end < len(text) and (text[end] == "-" or text[end].isascii() and text[end].isalpha()))
-            if alone and not forms.NOT_A_PERSON.match(text, end):
-                found.setdefault((at, end), "name")
-            at = text.find(name, end)
-    out: list[tuple[str, int, int]] = []
-    for (s, e), kind in sorted(found.items(), key=lambda x: (x[0][0], -x[0][1])):
-        if not out or s >= out[-1][2]:
+        while s < e and text[s].isspace():
+            s += 1
+        while s < e and text[e - 1].isspace():
+            e -= 1
+        x, kind = text[s:e], KINDS[k]
+        letters, digits = sum(map(str.isalpha, x)), sum(map(str.isdigit, x))
+        if (letters >= 2 and not digits) if kind == "name" else letters >= 2 and len(x) >= 5 if kind == "email" else (digits >= 7 or letters >= 7) if kind == "phone" else digits >= 1 if kind == "address" else digits >= 6:
             out.append((kind, s, e))
     return out
 
@@ -263,10 +248,9 @@ def find_spans(texts: list[str | None], weights: bytes) -> list[list[tuple[str,
     """Personal information in each text; null and empty texts have none."""
     t = tagger(weights)
     have = [i for i, x in enumerate(texts) if x]
-    tags = tag_texts(t, [texts[i] for i in have])
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for i, g in zip(have, tags):
-        out[i] = checked(texts[i], decoded_spans(g))
+    for i, g in zip(have, tag_texts(t, [texts[i] for i in have])):
+        out[i] = kept(texts[i], decoded_spans(g))
     return out
 
 

@@ -1,4 +1,4 @@
-"""Written forms of personal information: what labels training text and checks decoded spans."""
+"""Shapes of personal information: where it may stand in the training texts. Used in training only."""
 
 from __future__ import annotations
 
@@ -34,7 +34,7 @@ ID_NUMBER = regex.compile(
 
 _LOT = rf"(?:산\s?)?{D}+(?:\s?-\s?{D}+)?(?:\s?번지)?"
 _UNIT = rf"(?:,?\s?(?:[가-힣]+\s?(?:아파트|빌라|타워)\s?)?{D}+동\s?{D}+호|,?\s(?:지하\s?)?{D}+층(?:\s?{D}+호)?|,?\s{D}+호)?"
-_TOWN = r"(?=[가-힣]+(?:도|시|군|구|읍|면|동|가)\s)(?:[가-힣]{1,5}(?:특별자치도|특별시|광역시|도|시|군|구)\s+)*(?:[가-힣]{1,4}(?:읍|면|동|가|구)\s+)*"
+_TOWN = r"(?=[가-힣]+(?:도|시|군|구|읍|면|동)\s)(?:[가-힣]{1,5}(?:특별자치도|특별시|광역시|도|시|군|구)\s+)*(?:[가-힣]{1,4}(?:읍|면|동|구)\s+)*"
 _ROAD = rf"(?![가-힣]*(?:으로|별도로|까스로|서로|바로|새로|스스로)\s)[가-힣]{{1,5}}(?:대로|로|길)(?:\s?{D}+번?길)?\s?{D}+(?:\s?-\s?{D}+)?(?:번지|번)?"
 _VILLAGE = rf"[가-힣]{{1,4}}(?:리|동)\s+{_LOT}"
 ADDRESS = regex.compile(
@@ -46,14 +46,8 @@ ADDRESS = regex.compile(
 FAMILY = "김이박최정강조윤장임한오서신권황안송전홍문배류유고양손백허남심노하곽성차주우구민진지엄채원천방공현함변염여추도소석선설마길연위표명기반왕금옥육인맹제모탁국어은편용예경봉사부"
 FAMILY_COMMON = "김이박최정강조윤장임한오서신권황안송전홍문배"
 LATIN_FAMILY = "Kim Lee Park Choi Jung Jeong Kang Cho Yoon Jang Lim Han Oh Seo Shin Kwon Hwang Ahn Song Jeon Hong Moon Bae".split()
-# What stands after a person's name.
-TITLES = "씨 기자 주무관 주민자치회장 상인회장 위원장 센터장 조합장 소방장 반장 간호사 감독 대표 관장 작가 연구원 의원 회원 팀장 주민 변호사 농민 교장 학부모 과장 이장 드림 선생님 선생 교수 군수 시장 면장 읍장 회장 선수 코치 학생 어르신 님 군 양".split()
 _LATIN = "|".join(LATIN_FAMILY)
 LATIN_NAME = regex.compile(rf"(?<![A-Za-z-])(?:(?:{_LATIN})\s[A-Z][a-z]+-[a-z]+|[A-Z][a-z]+-[a-z]+\s(?:{_LATIN}))(?![A-Za-z-])")
-NAME_SHAPE = regex.compile(rf"(?<![가-힣])[{FAMILY}]\s?[가-힣]{{2}}|(?<![가-힣])[{FAMILY}][가-힣]{{1}}(?=\s씨)")
-
 FORMS = {"email": EMAIL, "phone": PHONE, "id_number": ID_NUMBER, "address": ADDRESS}
 #: What makes a name-like word something else: a building, a road, a town.
 NOT_A_PERSON = regex.compile(r"\s?(?:아파트|빌라|타워|빌딩|초등학교|중학교|고등학교|도서관|공원|대로|로\s?[0-9]|길\s?[0-9])")
-#: A name with nothing but spaces around it, and no town, village or road.
-NAME_ALONE = regex.compile(rf"\s*((?<![가-힣])[{FAMILY_COMMON}]\s?[가-힣][가-힣](?<![동리읍면시군구로길])(?![가-힣]))\s*")

@@ -1,24 +1,35 @@
-"""Training of the tagger in ``pii``: ``python -m presswork.llm.pii_train DIR OUT [STEPS]``.
+"""Training of the tagger in ``pii``: ``python -m presswork.llm.pii_train DIR OUT [STEPS WORKERS [START]]``.
 
-Labelled spans: TEXTS texts are drawn at random (seeded) from the tables in DIR; spans of the
-written forms and of names (family name and a given name that stands in the reporters' column or
-before titles in the sample) are their labels. In a third of the windows names are replaced by
-random ones, so that the surroundings are learned too. Windows with spans are drawn more often.
-The sample is bounded by TEXTS whatever the size of the tables."""
+TEXTS texts are drawn at random (seeded) from the tables in DIR, the bound whatever their size.
+Where personal information may stand in them is guessed by the shapes in ``pii_forms``; most of
+what stands there is then replaced by values drawn from ``pii_values``, and made-up sentences with
+and without values are put between the texts' own. So the network sees values of many forms, known
+to begin and end where they do, in the surroundings of the corpus; it is alone in deciding later.
+
+START: weights to begin with instead of random ones. Gradients are summed over WORKERS forked processes; the order of sums is fixed, so a run with the
+same number of workers gives the same weights."""
 
 from __future__ import annotations
 
+import os
 import sys
 from collections import Counter
 
-import numpy as np
-import regex
+os.environ.setdefault("OMP_NUM_THREADS", "1")
+
+import numpy as np  # noqa: E402
+import regex  # noqa: E402
 
-from presswork.llm import pii_forms as forms
-from presswork.llm.pii import _CLASSES, KINDS, TAGS, char_class, folded
+from presswork.llm import pii_forms as forms  # noqa: E402
+from presswork.llm.pii import BARRED, CLASSES, KINDS, TAGS, WINDOW, char_class, folded  # noqa: E402
+from presswork.llm.pii_values import Values  # noqa: E402
 
-TEXTS, VALID, WINDOW = 9000, 600, 128
+TEXTS, VALID = 9000, 700
 CHARS, EMB, HIDDEN = 1400, 24, 32
+#: Chance that a span is replaced, that a sentence is put in, and that a syllable is made unknown.
+REPLACED, PUT_IN, UNKNOWN = 0.6, 0.35, 0.03
+#: Greatest step of Adam.
+RATE = 5e-3
 
 
 def given_names(reporters: list[str], texts: list[str], least: int = 8) -> set[str]:
@@ -29,208 +40,302 @@ def given_names(reporters: list[str], texts: list[str], least: int = 8) -> set[s
     return got | {g for g, k in n.items() if k >= least}
 
 
-def label(text: str, names: regex.Pattern) -> np.ndarray:
-    """Tags of a text by its written forms."""
-    tags = np.zeros(len(text), np.int8)
-
-    def put(kind: str, s: int, e: int) -> None:
-        if not tags[s:e].any():
-            k = 1 + 2 * KINDS.index(kind)
-            tags[s], tags[s + 1 : e] = k, k + 1
-
-    for kind in ("email", "address", "id_number", "phone"):
-        for m in forms.FORMS[kind].finditer(text):
-            put(kind, *m.span())
-    for p in (forms.LATIN_NAME, names):
+def guessed(text: str, names: regex.Pattern) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of the shapes in a text, without overlaps, in order."""
+    taken = np.zeros(len(text), bool)
+    got = []
+    shapes = [(k, forms.FORMS[k]) for k in ("email", "address", "id_number", "phone")] + [("name", forms.LATIN_NAME), ("name", names)]
+    for kind, p in shapes:
         for m in p.finditer(text):
-            if not forms.NOT_A_PERSON.match(text, m.end()):
-                put("name", *m.span())
-    return tags
-
-
-def renamed(text: str, tags: np.ndarray, rng: np.random.Generator, syllables: str) -> str:
-    """The text with the Hangul names in it replaced syllable by syllable."""
-    out = list(text)
-    for i in np.flatnonzero(tags == 1 + 2 * KINDS.index("name")):
-        if "가" <= text[i] <= "힣":
-            out[i] = forms.FAMILY_COMMON[rng.integers(len(forms.FAMILY_COMMON))]
-            j = i + 1
-            while j < len(text) and tags[j] == 2 + 2 * KINDS.index("name"):
-                if text[j] != " ":
-                    out[j] = syllables[rng.integers(len(syllables))]
-                j += 1
-    return "".join(out)
+            s, e = m.span()
+            if not taken[s:e].any() and not (kind == "name" and forms.NOT_A_PERSON.match(text, e)):
+                taken[s:e] = True
+                got.append((KINDS.index(kind), s, e))
+    return sorted(got, key=lambda x: x[1])
+
+
+def tagged(parts: list[tuple[str, str]]) -> tuple[str, np.ndarray]:
+    """Text and tags of parts (kind or '', text)."""
+    tags = []
+    for kind, t in parts:
+        k = 1 + 2 * KINDS.index(kind) if kind else 0
+        tags += [k, *[k + 1] * (len(t) - 1)] if kind else [0] * len(t)
+    return "".join(t for _, t in parts), np.asarray(tags, np.int8)
+
+
+def varied(text: str, spans: list[tuple[int, int, int]], v: Values) -> list[tuple[str, str]]:
+    """Parts of a text with values replaced and sentences put in."""
+    if v.coin(0.25):  # as it is
+        parts, at = [], 0
+        for k, s, e in spans:
+            parts += [("", text[at:s]), (KINDS[k], text[s:e])]
+            at = e
+        return [*parts, ("", text[at:])]
+    parts, at = [], 0
+    for k, s, e in spans:
+        before = text[at:s]
+        kind = KINDS[k]
+        new = text[s:e]
+        if v.coin(REPLACED):
+            new = v.of(kind)
+            if kind == "name" and ("a" <= text[e - 1] <= "z") != new.isascii():
+                new = v.latin_name() if text[e - 1].isascii() else Values.name(v) if v.coin(0.1) else next(x for x in iter(v.name, None) if not x.isascii())
+        parts += [("", before), (kind, new)]
+        at = e
+    parts.append(("", text[at:]))
+    out: list[tuple[str, str]] = []
+    for kind, t in parts:
+        pieces = regex.split(r"(?<=[.\n])(?=\s|\S)", t) if not kind else [t]
+        for x in pieces:
+            out.append((kind, x))
+            if not kind and x[-1:] in ".\n" and v.coin(PUT_IN / 4):
+                out += [("", v.one([" ", "\n", "\n\n"])), *(v.sentence() if v.coin(0.7) else [("", v.none())]), ("", v.one([" ", "\n"]))]
+    return out
 
 
 class Net:
-    """Parameters, loss and gradients."""
+    """Parameters, loss and gradients. Both directions run at once: the second axis is the
+    direction, and the backward one reads each window from its end.
+
+    Gates are clipped lines instead of sigmoids, and the cell is kept within -1 and 1: an LSTM that
+    costs less and whose memory can't run away."""
 
     def __init__(self, vocab: int, seed: int = 3) -> None:
         r = np.random.default_rng(seed)
         k, n = HIDDEN, len(TAGS)
-        init = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-        self.p = {"emb": init(vocab, EMB) * np.sqrt(vocab) * 0.3, "out": init(2 * k, n), "bias": np.zeros(n, np.float32), "trans": np.zeros((n, n), np.float32)}
-        for d in "fb":
-            self.p |= {f"w{d}": init(EMB, 4 * k), f"u{d}": init(k, 4 * k), f"b{d}": np.zeros(4 * k, np.float32)}
-            self.p[f"b{d}"][k : 2 * k] = 1.0
-        self.m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        self.v = {k: np.zeros_like(v) for k, v in self.p.items()}
-        self.t = 0
-
-    def _forward(self, x: np.ndarray, d: str) -> dict:
-        k, (t, n, _) = HIDDEN, x.shape
-        h, c = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32)
-        g_all, c_all, h_all = np.empty((t, n, 4 * k), np.float32), np.empty((t + 1, n, k), np.float32), np.empty((t + 1, n, k), np.float32)
-        c_all[0], h_all[0] = c, h
-        xw = x @ self.p[f"w{d}"] + self.p[f"b{d}"]
-        u = self.p[f"u{d}"]
+        init = lambda scale, *s: (r.standard_normal(s) * scale / np.sqrt(s[-2])).astype(np.float32)
+        self.p = {"emb": (r.standard_normal((vocab, EMB)) * 0.3).astype(np.float32), "w": init(0.7, 2, EMB, 4 * k), "u": init(0.5, 2, k, 4 * k), "b": np.zeros((2, 1, 4 * k), np.float32), "out": init(1.0, 2, k, n), "bias": np.zeros(n, np.float32), "trans": np.zeros((n, n), np.float32)}
+        self.p["b"][:, :, : 3 * k] = 0.5
+        self.p["b"][:, :, k : 2 * k] = 0.8
+
+    def loss(self, ids: np.ndarray, y: np.ndarray, size: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """The CRF's negative log likelihood of a batch, and its gradients. ids (time, 2, batch),
+        y (time, batch); size: the windows' lengths."""
+        p, k = self.p, HIDDEN
+        t, _, n = ids.shape
+        x = p["emb"][ids]  # t, 2, n, emb
+        xw = np.matmul(x, p["w"]) + p["b"]
+        g_all, c_all, h_all = np.empty((t, 2, n, 4 * k), np.float32), np.zeros((t + 1, 2, n, k), np.float32), np.zeros((t + 1, 2, n, k), np.float32)
+        inside, free = np.empty((t, 2, n, 4 * k), bool), np.empty((t, 2, n, k), bool)
+        low = np.zeros(4 * k, np.float32)
+        low[3 * k :] = -1
         for i in range(t):
-            z = xw[i] + h @ u
-            g = np.empty_like(z)
-            g[:, : 3 * k] = 0.5 * np.tanh(0.5 * z[:, : 3 * k]) + 0.5
-            g[:, 3 * k :] = np.tanh(z[:, 3 * k :])
-            c = g[:, k : 2 * k] * c + g[:, :k] * g[:, 3 * k :]
-            h = g[:, 2 * k : 3 * k] * np.tanh(c)
-            g_all[i], c_all[i + 1], h_all[i + 1] = g, c, h
-        return {"g": g_all, "c": c_all, "h": h_all, "x": x}
-
-    def _backward(self, s: dict, dh_all: np.ndarray, d: str, grad: dict) -> np.ndarray:
-        k, (t, n, _) = HIDDEN, dh_all.shape
-        dh, dc = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32)
-        dz_all = np.empty((t, n, 4 * k), np.float32)
-        u = self.p[f"u{d}"].T
+            z = xw[i] + np.matmul(h_all[i], p["u"])
+            g = np.clip(z, low, 1, out=g_all[i])
+            np.equal(g, z, out=inside[i])
+            c = g[..., k : 2 * k] * c_all[i] + g[..., :k] * g[..., 3 * k :]
+            np.clip(c, -1, 1, out=c_all[i + 1])
+            np.equal(c, c_all[i + 1], out=free[i])
+            h_all[i + 1] = g[..., 2 * k : 3 * k] * c_all[i + 1]
+        part = np.matmul(h_all[1:], p["out"])  # t, 2, n, tags
+        steps = np.arange(t)[:, None]
+        turned = np.clip(size[None, :] - 1 - steps, 0, None)
+        m = steps < size[None, :]
+        e = part[:, 0] + np.take_along_axis(part[:, 1], turned[:, :, None], 0) + p["bias"]
+        loss, de, dt = self._crf(e, y, m)
+        de /= n
+        dpart = np.stack([de, np.take_along_axis(de, turned[:, :, None], 0) * m[:, :, None]], 1)
+        grad = {"trans": dt / n, "bias": de.sum((0, 1)), "out": np.einsum("tdnk,tdno->dko", h_all[1:], dpart, optimize=True)}
+        dh_all = np.matmul(dpart, p["out"].transpose(0, 2, 1))
+        dz_all = np.empty((t, 2, n, 4 * k), np.float32)
+        dh, dc = np.zeros((2, n, k), np.float32), np.zeros((2, n, k), np.float32)
+        ut = np.ascontiguousarray(p["u"].transpose(0, 2, 1))
         for i in range(t - 1, -1, -1):
-            g, tc = s["g"][i], np.tanh(s["c"][i + 1])
+            g, c = g_all[i], c_all[i + 1]
             a = dh_all[i] + dh
-            dc = dc + a * g[:, 2 * k : 3 * k] * (1 - tc * tc)
+            dc = (dc + a * g[..., 2 * k : 3 * k]) * free[i]
             dz = dz_all[i]
-            gi, gf, go, gg = g[:, :k], g[:, k : 2 * k], g[:, 2 * k : 3 * k], g[:, 3 * k :]
-            dz[:, :k] = dc * gg * gi * (1 - gi)
-            dz[:, k : 2 * k] = dc * s["c"][i] * gf * (1 - gf)
-            dz[:, 2 * k : 3 * k] = a * tc * go * (1 - go)
-            dz[:, 3 * k :] = dc * gi * (1 - gg * gg)
-            dc = dc * gf
-            dh = dz @ u
-        flat = dz_all.reshape(-1, 4 * k)
-        grad[f"w{d}"] = s["x"].reshape(-1, EMB).T @ flat
-        grad[f"u{d}"] = s["h"][:-1].reshape(-1, k).T @ flat
-        grad[f"b{d}"] = flat.sum(0)
-        return dz_all @ self.p[f"w{d}"].T
-
-    def emissions(self, ids: np.ndarray) -> tuple[np.ndarray, dict, dict, np.ndarray]:
-        x = self.p["emb"][ids]
-        f, b = self._forward(x, "f"), self._forward(x[::-1], "b")
-        h = np.concatenate([f["h"][1:], b["h"][1:][::-1]], 2)
-        return h @ self.p["out"] + self.p["bias"], f, b, h
-
-    def step(self, ids: np.ndarray, y: np.ndarray, lr: float) -> float:
-        """One Adam step on (time, batch) windows; the CRF's negative log likelihood per window."""
-        e, f, b, h = self.emissions(ids)
+            np.multiply(dc, g[..., 3 * k :], out=dz[..., :k])
+            np.multiply(dc, c_all[i], out=dz[..., k : 2 * k])
+            np.multiply(a, c, out=dz[..., 2 * k : 3 * k])
+            np.multiply(dc, g[..., :k], out=dz[..., 3 * k :])
+            dz *= inside[i]
+            dc = dc * g[..., k : 2 * k]
+            dh = np.matmul(dz, ut)
+        flat = dz_all.transpose(1, 0, 2, 3).reshape(2, t * n, 4 * k)
+        grad["w"] = np.matmul(x.transpose(1, 3, 0, 2).reshape(2, EMB, t * n), flat)
+        grad["u"] = np.matmul(h_all[:-1].transpose(1, 3, 0, 2).reshape(2, k, t * n), flat)
+        grad["b"] = flat.sum(1, keepdims=True)
+        dx = np.matmul(dz_all, p["w"].transpose(0, 2, 1)).reshape(-1, EMB)
+        order = np.argsort(ids.ravel(), kind="stable")
+        at = ids.ravel()[order]
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        grad["emb"] = np.zeros_like(p["emb"])
+        grad["emb"][at[first]] = np.add.reduceat(dx[order], first, 0)
+        return loss, grad
+
+    def _crf(self, e: np.ndarray, y: np.ndarray, m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         t, n, k = e.shape
-        trans = self.p["trans"]
+        trans = self.p["trans"] + BARRED
         alpha, beta = np.empty_like(e), np.zeros_like(e)
         alpha[0] = e[0]
+        grow = np.exp(trans)
         for i in range(1, t):
-            s = alpha[i - 1][:, :, None] + trans
-            m = s.max(1)
-            alpha[i] = m + np.log(np.exp(s - m[:, None]).sum(1)) + e[i]
+            top = alpha[i - 1].max(1, keepdims=True)
+            new = top + np.log(np.exp(alpha[i - 1] - top) @ grow + 1e-30) + e[i]
+            alpha[i] = np.where(m[i][:, None], new, alpha[i - 1])
         for i in range(t - 2, -1, -1):
-            s = trans + (beta[i + 1] + e[i + 1])[:, None, :]
-            m = s.max(2)
-            beta[i] = m + np.log(np.exp(s - m[:, :, None]).sum(2))
+            s = beta[i + 1] + e[i + 1]
+            top = s.max(1, keepdims=True)
+            new = top + np.log(np.exp(s - top) @ grow.T + 1e-30)
+            beta[i] = np.where(m[i + 1][:, None], new, 0)
         top = alpha[-1].max(1)
         z = top + np.log(np.exp(alpha[-1] - top[:, None]).sum(1))
-        de = np.exp(alpha + beta - z[None, :, None])
+        de = np.exp(np.minimum(alpha + beta - z[None, :, None], 0)) * m[:, :, None]
         dt = np.zeros_like(trans)
         for i in range(1, t):
-            dt += np.exp(alpha[i - 1][:, :, None] + trans + (e[i] + beta[i])[:, None, :] - z[:, None, None]).sum(0)
-        rows = np.arange(n)
-        gold = sum(e[i, rows, y[i]] for i in range(t)) + sum(trans[y[i - 1], y[i]] for i in range(1, t))
-        for i in range(t):
-            de[i, rows, y[i]] -= 1
-        np.subtract.at(dt, (y[:-1].ravel(), y[1:].ravel()), 1)
-        de /= n
-        grad = {"trans": dt / n, "bias": de.sum((0, 1)), "out": h.reshape(-1, h.shape[2]).T @ de.reshape(-1, k)}
-        dh = de @ self.p["out"].T
-        dx = self._backward(f, dh[:, :, :HIDDEN], "f", grad)
-        dx = dx + self._backward(b, dh[::-1, :, HIDDEN:], "b", grad)[::-1]
-        grad["emb"] = np.zeros_like(self.p["emb"])
-        np.add.at(grad["emb"], ids.ravel(), dx.reshape(-1, EMB))
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-        scale = min(1.0, 5.0 / max(norm, 1e-9))
-        self.t += 1
-        for name, g in grad.items():
-            g = g * scale
-            self.m[name] = 0.9 * self.m[name] + 0.1 * g
-            self.v[name] = 0.999 * self.v[name] + 0.001 * g * g
-            self.p[name] -= lr * (self.m[name] / (1 - 0.9**self.t)) / (np.sqrt(self.v[name] / (1 - 0.999**self.t)) + 1e-8)
-        return float((z - gold).mean())
-
-
-def load(d: str, rng: np.random.Generator) -> tuple[list[str], list[str]]:
+            a = alpha[i - 1] - z[:, None] / 2
+            b = e[i] + beta[i] - z[:, None] / 2
+            ta, tb = a.max(1, keepdims=True), b.max(1, keepdims=True)
+            scale = np.exp(np.minimum(ta + tb, 60)) * m[i][:, None]
+            dt += (np.exp(a - ta) * scale).T @ np.exp(b - tb) * grow
+        rows = np.arange(n)[None, :]
+        gold = (np.take_along_axis(e, y[:, :, None], 2)[:, :, 0] * m).sum(0) + (trans[y[:-1], y[1:]] * m[1:]).sum(0)
+        np.subtract.at(de, (np.arange(t)[:, None].repeat(n, 1)[m], rows.repeat(t, 0)[m], y[m]), 1)
+        np.subtract.at(dt, (y[:-1][m[1:]], y[1:][m[1:]]), 1)
+        return float((z - gold).mean()), de, dt
+
+
+def load(d: str, rng: np.random.Generator, texts: int = TEXTS) -> tuple[list[str], list[str]]:
     """A bounded sample of texts, and the reporters' column."""
     import pyarrow.parquet as pq
 
     r = pq.read_table(f"{d}/reports.parquet", columns=["content", "reporter_contact"])
     a = pq.read_table(f"{d}/articles.parquet", columns=["content", "reporter"])
-    pools = [(a["content"], TEXTS // 2), (r["content"], TEXTS // 3), (r["reporter_contact"], TEXTS // 6)]
-    texts = []
+    pools = [(a["content"], texts // 2), (r["content"], texts // 3), (r["reporter_contact"], texts // 6)]
+    got = []
     for col, n in pools:
         have = [x for x in col.to_pylist() if x]
-        texts += [have[i] for i in rng.permutation(len(have))[:n]]
-    return texts, a["reporter"].to_pylist()
+        got += [have[i] for i in rng.permutation(len(have))[:n]]
+    return got, a["reporter"].to_pylist()
+
+
+class Batches:
+    """Windows for training, made anew each time."""
+
+    def __init__(self, texts: list[str], names: regex.Pattern, chars: np.ndarray) -> None:
+        self.texts = [(t, guessed(t, names)) for t in texts]
+        self.ids = np.fromiter((char_class(c) for c in range(0x10000)), np.int32, 0x10000)
+        self.kinds = self.ids.copy()
+        self.ids[chars] = np.arange(len(chars), dtype=np.int32) + CLASSES
+        # every syllable once, and as many as are met in the texts
+        self.syllables = "".join(chr(c) for c in chars if 0xAC00 <= c <= 0xD7A3)
+        self.syllables += "".join(c for c in "".join(t[:20] for t in texts[:300]) if "가" <= c <= "힣")
+
+    def windows(self, rng: np.random.Generator, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        v = Values(rng, self.syllables)
+        got: list[tuple[str, np.ndarray]] = []
+        while len(got) < n:
+            x = rng.random()
+            if x < 0.06:
+                t, y = tagged(v.contact())
+            elif x < 0.14:
+                t, y = tagged([p for _ in range(int(rng.integers(1, 5))) for p in [*(v.sentence() if v.coin(0.75) else [("", v.none())]), ("", v.one([" ", "\n", "  "]))]])
+            else:
+                text, spans = self.texts[int(rng.integers(len(self.texts)))]
+                if len(text) < WINDOW // 2 and not v.coin(0.4):
+                    continue
+                t, y = tagged(varied(text, spans, v))
+            if len(t) > WINDOW:
+                s = 0 if v.coin(0.25) else int(rng.integers(len(t) - WINDOW // 2))
+                t, y = t[s : s + WINDOW], y[s : s + WINDOW].copy()
+                if y[0] and y[0] % 2 == 0:  # a cut span still begins
+                    y[0] -= 1
+            if t:
+                got.append((t, y))
+        size = np.asarray([len(t) for t, _ in got])
+        ids, tags = np.zeros((size.max(), 2, n), np.int32), np.zeros((size.max(), n), np.int64)
+        for k, (t, y) in enumerate(got):
+            p = folded(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64))
+            p = np.where(p < 0x10000, p, 0xFFFF)
+            c = np.where((rng.random(len(p)) < UNKNOWN) & (p >= 0xAC00), self.kinds[p], self.ids[p])
+            ids[: len(c), 0, k], ids[: len(c), 1, k], tags[: len(c), k] = c, c[::-1], y
+        return ids, tags, size
+
+
+def main(d: str, out: str, steps: int = 1500, workers: int = 8, start: str = "", batch: int = 40) -> None:
+    import multiprocessing as mp
 
-
-def main(d: str, out: str, steps: int = 2500) -> None:
     rng = np.random.default_rng(11)
     texts, reporters = load(d, rng)
     given = given_names(reporters, texts)
     names = regex.compile(rf"(?<![가-힣])[{forms.FAMILY_COMMON}]\s?(?:{'|'.join(sorted(given))})")
     count = Counter(c for t in texts for c in folded(np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64)).tolist())
     chars = np.asarray(sorted(c for c, _ in count.most_common(CHARS) if c < 0x10000), np.int64)
-    ids = np.fromiter((char_class(c) for c in range(0x10000)), np.int32, 0x10000)
-    ids[chars] = np.arange(len(chars), dtype=np.int32) + _CLASSES
-    syllables = "".join(chr(c) for c in chars if 0xAC00 <= c <= 0xD7A3)
-    cut: list[tuple[str, np.ndarray]] = []
-    for t in texts:
-        y = label(t, names)
-        for s in range(0, max(1, len(t) - 16), WINDOW // 2):
-            cut.append((t[s : s + WINDOW], y[s : s + WINDOW]))
-    order = rng.permutation(len(cut))
-    valid, train = [cut[i] for i in order[:VALID]], [cut[i] for i in order[VALID:]]
-    weight = np.asarray([1.0 + 3.0 * bool(y.any()) for _, y in train])
-    weight /= weight.sum()
-
-    def arrays(part: list[tuple[str, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        x, y = np.zeros((WINDOW, len(part)), np.int32), np.zeros((WINDOW, len(part)), np.int64)
-        for k, (t, tags) in enumerate(part):
-            if rng.random() < 0.33:
-                t = renamed(t, tags, rng, syllables)
-            p = folded(np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64))
-            x[: len(p), k] = ids[np.where(p < 0x10000, p, 0xFFFF)]
-            y[: len(tags), k] = tags
-        return x, y
-
-    net = Net(len(chars) + _CLASSES)
+    order = rng.permutation(len(texts))
+    held = [texts[i] for i in order[:VALID]]
+    data = Batches([texts[i] for i in order[VALID:]], names, chars)
+    net = Net(len(chars) + CLASSES)
+    if start:
+        with np.load(start) as w:
+            for name, a in net.p.items():
+                a[:] = w[name].reshape(a.shape)
+    at, total = {}, 0
+    for name, a in net.p.items():
+        at[name] = (total, a.shape)
+        total += a.size
+    fork = mp.get_context("fork")
+    shared = np.frombuffer(fork.RawArray("f", total), np.float32)
+    grads = np.frombuffer(fork.RawArray("f", workers * (total + 1)), np.float32).reshape(workers, total + 1)
+    for name, (o, shape) in at.items():
+        shared[o : o + net.p[name].size] = net.p[name].ravel()
+        net.p[name] = shared[o : o + net.p[name].size].reshape(shape)
+    go, done = fork.Barrier(workers + 1), fork.Barrier(workers + 1)
+
+    def work(w: int) -> None:
+        own = np.random.default_rng([1000 + w, bool(start)])
+        for _ in range(steps):
+            made = data.windows(own, batch)
+            go.wait()
+            loss, g = net.loss(*made)
+            for name, (o, _) in at.items():
+                grads[w, o : o + g[name].size] = g[name].ravel()
+            grads[w, -1] = loss
+            done.wait()
+
+    procs = [fork.Process(target=work, args=(w,), daemon=True) for w in range(workers)]
+    for p in procs:
+        p.start()
+    m, v, kept = np.zeros(total, np.float32), np.zeros(total, np.float32), shared.copy()
 
     def save() -> None:
-        np.savez_compressed(out, chars=chars, **{k: v.astype(np.float16) for k, v in net.p.items()})
-
-    from presswork.llm.pii import Tagger
+        have = {name: kept[o : o + int(np.prod(shape))].reshape(shape) for name, (o, shape) in at.items()}
+        np.savez_compressed(out, chars=chars, **{k: x.astype(np.float16) for k, x in have.items()})
 
+    mean = 0.0
     for step in range(1, steps + 1):
-        part = [train[i] for i in rng.choice(len(train), 96, p=weight)]
-        lr = 4e-3 * min(1.0, step / 100) * (0.03 ** max(0.0, (step / steps - 0.5) * 2))
-        loss = net.step(*arrays(part), lr)
-        if step % 250 == 0 or step == steps:
+        go.wait()
+        done.wait()
+        g = grads[:, :-1].mean(0)
+        g *= min(1.0, 5.0 / max(float(np.sqrt((g * g).sum())), 1e-9))
+        m = 0.9 * m + 0.1 * g
+        v = 0.99 * v + 0.01 * g * g
+        lr = RATE * min(1.0, step / 60) * (0.02 ** max(0.0, (step / steps - 0.3) / 0.7))
+        shared -= lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        kept += (shared - kept) * (0.02 if step > 100 else 1.0)  # a running mean of the weights is kept
+        mean = float(grads[:, -1].mean())
+        if step % 100 == 0 or step == steps:
             save()
-            with np.load(out) as w:
-                t = Tagger({k: w[k] for k in w.files})
-            x, y = arrays(valid)
-            got = t.tags(x)
-            hit = [(int(((got > 0) & (y > 0) & ((y + 1) // 2 == k + 1) & ((got + 1) // 2 == (y + 1) // 2)).sum()), int(((got + 1) // 2 == k + 1).sum()), int(((y + 1) // 2 == k + 1).sum())) for k in range(len(KINDS))]
-            print(step, round(loss, 3), {kind: (round(a / max(b, 1), 4), round(a / max(c, 1), 4)) for kind, (a, b, c) in zip(KINDS, hit)}, flush=True)
+            print(step, round(mean, 3), flush=True)
+    for p in procs:
+        p.join(5)
+    print(agreement(held, names, out))
+
+
+def agreement(texts: list[str], names: regex.Pattern, weights: str) -> dict[str, tuple[int, int, int]]:
+    """(guessed, found, both) spans by kind over whole texts."""
+    from pathlib import Path
+
+    from presswork.llm.pii import find_spans
+
+    got = find_spans(texts, Path(weights).read_bytes())
+    out = {}
+    for k, kind in enumerate(KINDS):
+        a = {(i, s, e) for i, t in enumerate(texts) for q, s, e in guessed(t, names) if q == k}
+        b = {(i, s, e) for i, g in enumerate(got) for q, s, e in g if q == kind}
+        out[kind] = (len(a), len(b), len(a & b))
+    return out
 
 
 if __name__ == "__main__":
-    main(sys.argv[1], sys.argv[2], *(int(x) for x in sys.argv[3:4]))
+    main(sys.argv[1], sys.argv[2], *(int(x) for x in sys.argv[3:5]), *sys.argv[5:6])

@@ -83,12 +83,58 @@ def test_personal_information():
     assert "[NAME]" in pii.replaced(text, spans) and "168-28-19701" in pii.replaced(text, spans)
 
 
-def test_windows_don_t_change_what_is_found():
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("어제 남궁 민수 씨가 회의에 참석했다.", ("name", "남궁 민수")),
+        ("회원 제갈 량 씨는 웃었다.", ("name", "제갈 량")),
+        ("주민 김 훈 씨는 반대했다.", ("name", "김 훈")),
+        ("Contact James Brown for details.", ("name", "James Brown")),
+        ("문의 1588-1234 로 전화 주세요.", ("phone", "1588-1234")),
+        ("Call +1 212-555-0147 please.", ("phone", "+1 212-555-0147")),
+    ],
+)
+def test_values_that_no_list_or_shape_holds(text, want):
+    assert want in [(k, text[s:e]) for k, s, e in pii.find_spans([text], pii.WEIGHTS.read_bytes())[0]]
+
+
+def test_the_network_needs_no_shapes():
+    import inspect
+
+    assert "pii_forms" not in inspect.getsource(pii) and not hasattr(pii, "forms")
+
+
+def test_texts_beside_it_don_t_change_a_text_s_spans():
+    weights, r = pii.WEIGHTS.read_bytes(), random.Random(3)
+    parts = ["이어 행정 협의회 시설을 점검했다. ", "연락처는 010-1845-3618입니다. ", "문시내 씨는 웃었다.\n", "메일 ab@cd.example 로 ", "My name is Na-rin Hong. "]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(1, 60))) for _ in range(60)]
+    together = pii.find_spans(texts, weights)
+    assert together == [pii.find_spans([t], weights)[0] for t in texts]
+    assert together[::-1] == pii.find_spans(texts[::-1], weights)
+
+
+def test_windows_and_pieces_don_t_change_what_is_found(monkeypatch):
     weights = pii.WEIGHTS.read_bytes()
     filler = "이어 행정 협의회 시설을 단계적으로 점검했다. "
     want = "연락처는 010-1845-3618입니다. "
     text = filler * 40 + want + filler * 40
     assert [(k, text[s:e]) for k, s, e in pii.find_spans([text], weights)[0]] == [("phone", "010-1845-3618")]
+    monkeypatch.setattr(pii, "PIECE", 700)
+    monkeypatch.setattr(pii, "MARGIN", 300)
+    long = text * 5
+    assert [long[s:e] for _, s, e in pii.find_spans([long, "", want], weights)[0]] == ["010-1845-3618"] * 5
+
+
+def test_no_tag_follows_that_can_t():
+    t, r = pii.tagger(pii.WEIGHTS.read_bytes()), np.random.default_rng(4)
+    e = r.normal(0, 3, (400, len(pii.TAGS))).astype(np.float32)
+    got = t.viterbi(e, np.asarray([0, 150]), np.asarray([150, 250]))
+    for s, n in ((0, 150), (150, 250)):
+        path = got[s : s + n]
+        assert path[0] % 2 == 1 or path[0] == 0
+        score = lambda p: e[s, p[0]] + sum(t.trans[a, b] + e[s + i + 1, b] for i, (a, b) in enumerate(zip(p, p[1:])))  # noqa: E731, B023
+        best = [score(np.r_[path[:i], v, path[i + 1 :]]) for i in range(n) for v in range(len(pii.TAGS)) if i or v % 2 or not v]
+        assert max(best) <= score(path) + 1e-2
 
 
 def test_spans_frame(spark):

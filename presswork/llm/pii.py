@@ -21,6 +21,9 @@ from presswork.session import spread
 
 KINDS = ["email", "phone", "id_number", "address", "name"]
 TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
+#: The tags in the decoder's order: O and the Bs, which any tag may come before, then the Is.
+INNER = np.asarray([0, *range(1, len(TAGS), 2), *range(2, len(TAGS), 2)])
+_FREE = 1 + len(KINDS)
 #: What can't follow: an I after anything but the B or I of its kind.
 BARRED = np.where([[b[0] == "I" and a[1:] != b[1:] for b in TAGS] for a in TAGS], np.float32(-1e4), np.float32(0))
 WINDOW, OVERLAP = 256, 32
@@ -81,8 +84,8 @@ class Tagger:
         u, x, b = (w[name].astype(np.float32).transpose(0, 2, 1) for name in "uwb")
         self.mix = np.concatenate([2 * u * half, x * half, b * half], 2)
         self.mix[:, 3 * k :, -1] += 0.5
-        self.out = 2 * w["out"].astype(np.float32).transpose(0, 2, 1)
-        self.bias, self.trans = w["bias"].astype(np.float32), w["trans"].astype(np.float32) + BARRED
+        self.out = np.ascontiguousarray(2 * w["out"].astype(np.float32).transpose(0, 2, 1)[:, INNER])
+        self.bias, self.trans = w["bias"].astype(np.float32)[INNER], (w["trans"].astype(np.float32) + BARRED)[INNER][:, INNER]
         self.state = np.zeros((2, self.mix.shape[2], BATCH), np.float32)
         self.g = np.empty((2, 4 * k, BATCH), np.float32)
         self.c, self.new = np.empty((2, k, BATCH), np.float32), np.empty((2, k, BATCH), np.float32)
@@ -92,7 +95,7 @@ class Tagger:
         return self.ids[np.where(p < len(self.ids), p, 0xFFFF)]
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
-        """Tag scores (direction, time and batch, tags) of ids (time, direction, batch)."""
+        """Scores (direction, time and batch, tags in INNER order) of ids (time, direction, batch)."""
         t, k = len(ids), self.hidden
         g, c, new, h = self.g, self.c, self.new, self.state[:, :k]
         gi, gf, go, gg = (g[:, i * k : (i + 1) * k] for i in range(4))
@@ -125,8 +128,9 @@ class Tagger:
         out = np.empty((len(codes), len(TAGS)), np.float32)
         at, size, lead, tail = (np.asarray(x, np.int64) for x in (at, size, lead, tail))
         order = np.argsort(size, kind="stable")
-        for b in range(0, len(order), BATCH):
-            part = order[b : b + BATCH]
+        # the batch that isn't full is the one of the shortest windows
+        for b in range(-(-len(order) % BATCH), len(order), BATCH):
+            part = order[max(b, 0) : b + BATCH]
             n, t = len(part), int(size[part[-1]])
             a, z = at[part], size[part]
             time = np.arange(t)[:, None]
@@ -146,6 +150,9 @@ class Tagger:
         """Best tags of every character, decoded over whole pieces (rows of e from a start on)."""
         got = np.zeros(len(e), np.int8)
         order = np.argsort(-sizes, kind="stable")
+        to_free = np.ascontiguousarray(self.trans[:, :_FREE])[:, :, None]
+        own = np.arange(len(KINDS))
+        to_inner = np.stack([self.trans[1 + own, _FREE + own], self.trans[_FREE + own, _FREE + own]])[:, :, None]
         b = 0
         while b < len(order):
             t = int(sizes[order[b]])
@@ -153,28 +160,30 @@ class Tagger:
             b += len(part)
             n, long = len(part), sizes[part]
             active = (long[None, :] > np.arange(t)[:, None]).sum(1)  # the pieces are sorted, longest first
-            x = np.empty((t, len(TAGS), n), np.float32)
-            for k, p in enumerate(part.tolist()):
-                x[: sizes[p], :, k] = e[starts[p] : starts[p] + sizes[p]]
-            x[0, 2::2] = -1e4
-            step, best = np.empty((len(TAGS), len(TAGS), n), np.float32), np.empty((len(TAGS), n), np.float32)
+            rows = np.minimum(starts[part] + np.arange(t)[:, None], len(e) - 1)
+            x = np.ascontiguousarray(np.take(e, rows.ravel(), axis=0).reshape(t, n, len(TAGS)).transpose(0, 2, 1))
+            x[0, _FREE:] = -1e4
+            step, best, held = (np.empty((*s, n), np.float32) for s in ((len(TAGS), _FREE), (len(TAGS),), (2, len(KINDS))))
             for i in range(1, t):  # x becomes the score of the best path up to i
                 m = int(active[i])
-                np.add(x[i - 1, :, None, :m], self.trans[:, :, None], out=step[:, :, :m])
-                np.max(step[:, :, :m], axis=0, out=best[:, :m])
-                np.add(x[i, :, :m], best[:, :m], out=x[i, :, :m])
+                was, now = x[i - 1, :, :m], x[i, :, :m]
+                np.add(was[:, None], to_free, out=step[:, :, :m])
+                np.max(step[:, :, :m], axis=0, out=best[:_FREE, :m])
+                np.add(was[1:].reshape(2, len(KINDS), m), to_inner, out=held[:, :, :m])
+                np.max(held[:, :, :m], axis=0, out=best[_FREE:, :m])
+                np.add(now, best[:, :m], out=now)
             tags = np.zeros((t, n), np.int8)
             cur = np.zeros(n, np.int64)
             for i in range(t - 1, -1, -1):
-                m, held = int(active[i]), int(active[i + 1]) if i + 1 < t else 0
-                if held:
-                    cur[:held] = (x[i, :, :held] + self.trans[:, cur[:held]]).argmax(0)
-                if m > held:
-                    cur[held:m] = x[i, :, held:m].argmax(0)
+                m, on = int(active[i]), int(active[i + 1]) if i + 1 < t else 0
+                if on:
+                    cur[:on] = (x[i, :, :on] + self.trans[:, cur[:on]]).argmax(0)
+                if m > on:
+                    cur[on:m] = x[i, :, on:m].argmax(0)
                 tags[i, :m] = cur[:m]
             for k, p in enumerate(part.tolist()):
                 got[starts[p] : starts[p] + sizes[p]] = tags[: sizes[p], k]
-        return got
+        return INNER.astype(np.int8)[got]
 
 
 @lru_cache(maxsize=2)
@@ -272,7 +281,7 @@ def fields(reports: DataFrame, articles: DataFrame) -> DataFrame:
     return r.unionByName(a).filter("id is not null")
 
 
-def _chunks(b, size: int = 1000) -> Iterator:
+def _chunks(b, size: int = 4000) -> Iterator:
     for i in range(0, b.num_rows, size):
         yield b.slice(i, size)
 

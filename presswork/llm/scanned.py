@@ -1,10 +1,13 @@
 """Problem 5: noise of scanned pages, by a noisy channel over words.
 
-* Counts of all words and of all three-character pieces of the corpus are kept in a sketch of fixed
-  size (two hashed rows, the smaller count holds), so the language model has one size at any scale.
-* How a syllable or letter is misprinted: into its look-alike parts (shape tables below), into a
-  blot, with a stray mark beside it, or into a similar syllable. How likely each similar syllable
-  is, is learned from the corpus: rare words that are one vowel away from frequent ones.
+* Counts of all words and of all three-character pieces of the corpus are kept in a sketch (two
+  hashed rows, the smaller count holds) that grows with their number up to GREATEST. A word's
+  likelihood is that of its count, with a share for that of its pieces, so that words the corpus
+  hasn't got whole are weighed too.
+* How a syllable or letter is misprinted is learned from the corpus: rare words that are a frequent
+  one but for one or two characters, where the misprint befalls all words with those characters
+  alike (``likely_pairs``). Shape tables below say what is possible besides: look-alike parts,
+  blots, stray marks.
 * A line is decoded by Viterbi over candidate words: channel times likelihood of the word and of
   its ending after the ending before. A line is misread where the best words aren't the printed ones.
 * Running heads, page numbers and broken words are told by their form and the corpus's words.
@@ -14,6 +17,7 @@ Positions are kept: every line of the input is looked at, whatever its text's le
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,11 +29,20 @@ from pyspark.sql import functions as F
 
 from presswork.session import spread, stage
 
-WIDTH = 1 << 21
+#: Counters in a row of the sketch, at most and at least.
+GREATEST, LEAST = 1 << 23, 1 << 16
+#: Share of a word's likelihood that comes from its pieces.
+BY_PIECES = 0.02
 #: Share of characters that are misread, before the corpus says more.
 NOISE = 0.003
 #: Tokens of more characters are read as words without spaces, each of at most JOINED characters.
 LONG, JOINED = 40, 12
+#: Share of the words that should show a misprint and do, at least.
+ALIKE = 0.3
+#: Counts below SEEN + 1 aren't kept: so rare a word is no evidence for itself.
+SEEN = 2
+#: Words met more often aren't read as holding two misprints.
+TWICE = 10
 #: Log odds: of another word than the printed one, and of one more character of an unknown word.
 MARGIN, UNKNOWN = 4, 7
 
@@ -43,7 +56,7 @@ VOWEL_SHAPES = {"ㅏ": ["ㅏ", "r", "F"], "ㅓ": ["ㅓ", "-l"], "ㅣ": ["ㅣ", "
 # Letters that digits are taken for.
 DIGIT_SHAPES = "lIOoZSBbgq"
 # What Latin letters are taken for.
-LATIN_SHAPES = {"0": "o", "1": "l", "I": "l", "|": "l", "5": "s", "8": "b", "rn": "m", "ii": "u", "vv": "w", "c": "e", "e": "c", "h": "b", "b": "h", "cl": "d", "li": "h", "nn": "m", "m": "rn", "u": "ii", "l": "i", "i": "l", "9": "g", "6": "b", "€": "e", "@": "a", "o": "c", "n": "u", "t": "f", "f": "t", "ri": "n"}
+LATIN_SHAPES = {"0": "o l i s b g z q", "I": "l", "|": "l", "rn": "m", "ii": "u", "vv": "w", "c": "e o", "e": "c", "h": "b li", "b": "h", "cl": "d", "li": "h", "nn": "m", "m": "rn nn", "u": "ii", "l": "i", "i": "l", "€": "e", "@": "a", "o": "c", "n": "u ti ri", "d": "cl", "w": "vv", "t": "f", "f": "t", "ri": "n"}
 
 _INITIALS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
 _VOWELS = "ㅏㅐㅑㅒㅓㅔㅕㅖㅗㅘㅙㅚㅛㅜㅝㅞㅟㅠㅡㅢㅣ"
@@ -59,14 +72,29 @@ LOST = {("ㅗ", "ㅣ"): "ㅚ", ("ㅜ", "ㅣ"): "ㅟ", ("ㅡ", "ㅣ"): "ㅢ", ("
 
 _STRIP_L = "\"“‘'([<〈「『*※▶■●○ⓒ-–|="
 _STRIP_R = "\"”’')]>〉」』.,!?;:|…"
-_ODD = regex.compile(r"[가-힣].*[A-Za-zㄱ-ㅎㅏ-ㅣ人口^|]|[A-Za-zㄱ-ㅎㅏ-ㅣ人口^|].*[가-힣]|[ㄱ-ㅎㅏ-ㅣ]|人|[□■¿�]")
 _TWO = "|".join(sorted(regex.escape(p) for p in PAIRS if not p[1].isdigit()))
 #: Parts of syllables between syllables: misread whether or not the corpus knows the word.
 _JAMO = regex.compile(rf"[가-힣][ㄱ-ㅎㅏ-ㅣ人]|[ㄱ-ㅎㅏ-ㅣ人][가-힣]|(?<![A-Za-z0-9])(?:{_TWO})(?=[가-힣])|(?<=[가-힣])(?:{_TWO})(?![A-Za-z0-9])|[호으][lI](?![A-Za-z])|(?<=[가-힣])[|](?=[가-힣])")
 #: Digits, but for those that stand for part of a syllable.
 _DIGIT = regex.compile(r"[0-9](?![lrIF|ㅏㅓㅣㅐHㄷ—])")
-_NUMBER = regex.compile(rf"(?<![A-Za-z가-힣])[0{DIGIT_SHAPES}][0{DIGIT_SHAPES}.,]*(?=[가-힣%]|$)")
-_ADDRESS = regex.compile(r"@|＠|\.(?:example|test|invalid|com|net|org|kr)\b|://|골뱅이", regex.I)
+_NUMBER = re.compile(rf"(?<![A-Za-z가-힣])[0-9{DIGIT_SHAPES}][0-9{DIGIT_SHAPES}.,]*(?=[가-힣%]|$)")
+_SHAPES = re.compile(f"[0-9{DIGIT_SHAPES}]")
+_ADDRESS = re.compile(r"@|＠|\.(?:example|test|invalid|com|net|org|kr)\b|://|골뱅이", re.I)
+#: Tokens of syllables only hold no parts of syllables, and those without a digit no number.
+_SYLLABLES = re.compile("[가-힣]+")
+#: Letters of one script beside signs of another or a digit; and a digit that isn't among letters.
+_PART = re.compile(r"[A-Za-zㄱ-ㅎㅏ-ㅣ人口^|—_-]")
+_MIXED = re.compile(r"[A-Za-z][0-9|]|[0-9|][A-Za-z]|[가-힣][A-Za-zㄱ-ㅎㅏ-ㅣ人口^|—]|[A-Za-zㄱ-ㅎㅏ-ㅣ人口^|—][가-힣]")
+_LOOSE_DIGIT = re.compile(r"(?<![A-Za-z])[0-9]|[0-9](?![A-Za-z])")
+_ANY_DIGIT = re.compile(r"\d")
+_ANY_LETTER = re.compile(r"[^\W\d_]")
+
+
+def _blotted(w: str) -> bool:
+    """Whether a sign that couldn't be read or a part of a syllable stands in a word."""
+    if w.isascii():
+        return False
+    return "¿" in w or "�" in w or (len(w) > 1 and ("□" in w or "■" in w)) or bool(_PART.search(w) and _JAMO.search(w))
 
 
 def bare(token: str) -> str:
@@ -77,9 +105,9 @@ def bare(token: str) -> str:
     return t.lower() if t.isascii() else t
 
 
-def slots(key: str) -> tuple[int, int]:
+def slots(key: str, width: int) -> tuple[int, int]:
     h = xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass"))
-    return h % WIDTH, WIDTH + (h >> 32) % WIDTH
+    return h % width, width + (h >> 32) % width
 
 
 class Counts:
@@ -87,26 +115,31 @@ class Counts:
 
     def __init__(self, table: np.ndarray, total: int, learned: dict[tuple[str, str], float] | None = None) -> None:
         self.table, self.total, self.learned = table, max(total, 1), learned or {}
+        self.width = len(table) // 2
         self.by_print: dict[str, list[tuple[str, float]]] = {}
         for (true, printed), p in self.learned.items():
             self.by_print.setdefault(printed, []).append((true, p))
 
     def n(self, key: str) -> int:
-        a, b = slots(key)
+        a, b = slots(key, self.width)
         return int(min(self.table[a], self.table[b]))
 
     def word(self, w: str) -> int:
         return self.n("w" + w)
 
-    def pieces(self, w: str) -> float:
-        """Log likelihood of a word by its three-character pieces."""
+    def pieces(self, w: str, own: int = 0) -> float:
+        """Log likelihood of a word by its three-character pieces, without its ``own`` occurrences."""
         s = "^" + w + "$"
         got = 0.0
         for i in range(len(s) - 2):
-            whole, part = self.n("t" + s[i : i + 3]), self.n("p" + s[i : i + 2])
-            got += math.log((whole + 0.01) / (part + 2.0))
+            whole, part = self.n("t" + s[i : i + 3]) - own, self.n("p" + s[i : i + 2]) - own
+            got += math.log((max(whole, 0) + 0.01) / (max(part, 0) + 2.0))
         return got
 
+    def unseen(self, w: str, own: int = 0) -> float:
+        """Log likelihood of a word by its pieces alone."""
+        return math.log(BY_PIECES) + self.pieces(w, own)
+
 
 class Tally:
     """Words and pairs of word endings of texts, counted across batches."""
@@ -150,44 +183,51 @@ class Tally:
         return out
 
 
-def _vowel_away(a: str, b: str) -> bool:
-    """Whether two syllables differ in the vowel only."""
-    x, y = ord(a) - 0xAC00, ord(b) - 0xAC00
-    return a != b and 0 <= x < 11172 and 0 <= y < 11172 and x // 588 == y // 588 and x % 28 == y % 28
-
-
-def _vowel_swaps(c: str) -> list[str]:
-    x = ord(c) - 0xAC00
-    if not 0 <= x < 11172:
-        return []
-    base, end = x // 588 * 588, x % 28
-    return [s for v in range(21) if (s := chr(0xAC00 + base + v * 28 + end)) != c]
-
-
-def learn_pairs(words: dict[str, int], c: Counts) -> tuple[Counter, Counter]:
-    """(true, printed) syllables of words that are a vowel away from words at least 20 times as
-    frequent: how often they were printed so, and in how many words. ``words`` are distinct words
-    with their counts; how often a syllable was met at all is counted as (true, '')."""
-    got: Counter = Counter()
-    kinds: Counter = Counter()
-    for w, own in words.items():
-        if not 2 <= len(w) <= 12 or not all("가" <= x <= "힣" for x in w):
-            continue
-        for x in w:
-            got[x, ""] += own
-        for i, x in enumerate(w):
-            for s in _vowel_swaps(x):
-                if c.word(w[:i] + s + w[i + 1 :]) >= 20 * own + 20:
-                    got[s, x] += own
-                    kinds[s, x] += 1
-    return got, kinds
-
-
-def likely_pairs(got: Counter, kinds: Counter) -> dict[tuple[str, str], float]:
-    """Chance of each similar syllable, of those met in several words and not more often than a
-    misprint can be."""
-    p = {k: n / max(got[k[0], ""], 1) for k, n in got.items() if k[1] and kinds[k] >= 5}
-    return {k: v for k, v in p.items() if 1e-4 <= v <= 0.05 and got[k[0], ""] >= 200}
+def frequent_and_rare(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``words`` (w, n) -> (true, bucket, words, n) of the frequent words' pieces of one and two
+    characters, and (true, printed, n, words) of rare words that are a frequent one, at least 20
+    times as frequent and more, but for such a piece. A rare word counts for the closest frequent
+    one only. Words of 2 to 12 characters that aren't broken at a line's end."""
+    marks = "".join(f"\\u{ord(x):04x}" for x in BREAKS)
+    words = words.filter(F.length("w").between(2, 12) & ~F.col("w").rlike(f"[{marks}]$"))
+    cuts = F.flatten(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.array(F.struct(i.alias("at"), F.lit(1).alias("size")), F.struct(i.alias("at"), F.lit(2).alias("size")))))
+    cut = words.withColumn("x", F.explode(cuts)).filter("x.at + x.size - 1 <= length(w) and length(w) > x.size")
+    cut = cut.select("w", "n", F.expr("concat(substring(w, 1, x.at - 1), chr(1), substring(w, x.at + x.size))").alias("rest"), F.expr("substring(w, x.at, x.size)").alias("piece"))
+    frequent = cut.filter(F.col("n") >= 40).select("rest", F.col("piece").alias("true"), F.col("n").alias("big"))
+    sizes = frequent.groupBy("true", F.floor(F.log2("big")).cast("int").alias("bucket")).agg(F.count("*").alias("words"), F.sum("big").alias("n"))
+    x, y = F.ascii("true") - 0xAC00, F.ascii("printed") - 0xAC00
+    same = [(F.floor(x / 588) == F.floor(y / 588)), (F.floor(x / 28) % 21 == F.floor(y / 28) % 21), (x % 28 == y % 28)]
+    syllables = F.col("true").rlike("^[가-힣]+$") & F.col("printed").rlike("^[가-힣]+$")
+    sizes_of = F.length("true") + F.length("printed")
+    # of two syllables two of initial, vowel and final are equal; a piece isn't just longer or
+    # shorter by a letter, nor one of two characters of which one is equal
+    alike = ~syllables | ((sizes_of == 2) & (sum(c.cast("int") for c in same) >= 2))
+    rest = F.when(F.length("true") > F.length("printed"), F.expr("replace(`true`, printed, '')")).otherwise(F.expr("replace(printed, `true`, '')"))
+    longer = (sizes_of == 3) & (F.length(rest) == 1) & rest.rlike(r"^[\p{L}\p{N}]$")
+    halves = (sizes_of == 4) & ((F.substring("true", 1, 1) == F.substring("printed", 1, 1)) | (F.substring("true", 2, 1) == F.substring("printed", 2, 1)))
+    apart = (F.col("true") != F.col("printed")) & alike & ~longer & ~halves
+    met = frequent.join(cut.select("rest", F.col("piece").alias("printed"), "w", "n"), "rest").filter("big >= 20 * n + 20").filter(apart)
+    closest = F.max(F.struct(-F.length(F.concat("true", "printed")), "big", "true", "printed")).alias("x")
+    one = met.groupBy("w", "n").agg(closest)
+    return sizes, one.groupBy("x.true", "x.printed").agg(F.sum("n").alias("n"), F.count("*").alias("words"))
+
+
+def likely_pairs(sizes: list[tuple[str, int, int, int]], pairs: list[tuple[str, str, int, int]]) -> dict[tuple[str, str], float]:
+    """Chance of each misprint (true, printed). A pair counts if it is met in at least five words,
+    not more often than a misprint can be, and in as many words as it should be met in if it befell
+    all words with those characters alike; another word or ending befalls a few."""
+    of: dict[str, list[tuple[int, int, int]]] = {}
+    for true, *x in sizes:
+        of.setdefault(true, []).append(tuple(x))
+    got = {}
+    for true, printed, n, words in pairs:
+        have = of.get(true, [])
+        p = n / max(sum(x[2] for x in have), 1)
+        if words >= 5 and 1e-4 <= p <= 0.05:
+            expected = sum(k * (1 - (1 - p) ** (total / k)) for _, k, total in have)
+            if words >= ALIKE * expected:
+                got[true, printed] = p
+    return got
 
 
 class Channel:
@@ -204,8 +244,8 @@ class Channel:
         out: dict[str, float] = {}
         rare = math.log(NOISE)
         m = _NUMBER.search(w)
-        if m and not m[0].strip("0.,") == "":
-            out[w[: m.start()] + regex.sub(f"[{DIGIT_SHAPES}]", "0", m[0]) + w[m.end() :]] = rare
+        if m and (_ANY_DIGIT.search(w) or not w.isascii()) and (read := _SHAPES.sub("0", m[0])) != m[0]:
+            out[w[: m.start()] + read + w[m.end() :]] = rare
         for i in range(len(w)):
             two = w[i : i + 2]
             if two in PAIRS and not all("가" <= x <= "힣" for x in two):
@@ -218,48 +258,64 @@ class Channel:
                         out[w[:i] + chr(0xAC00 + (x // 588 * 21 + _VOWELS.index(LOST[vowel, v])) * 28) + w[i + 2 :]] = rare
             if 0 < i < len(w) - 1 and not w[i].isalnum() and w[i] not in "·%.~" and w[i - 1].isalpha() and w[i + 1].isalpha():
                 out[w[:i] + w[i + 1 :]] = rare
-            for true, p in self.c.by_print.get(w[i], ()):
-                out[w[:i] + true + w[i + 1 :]] = math.log(max(p, 1e-6))
-        return list(out.items())
+        return list(self._learned(w, out).items())
+
+    def _learned(self, w: str, out: dict[str, float]) -> dict[str, float]:
+        """``out`` and what the learned misprints lead to, the likelier where both lead to a word."""
+        digits = not w.isascii()
+        for i in range(len(w)):
+            for size in (1, 2):
+                piece = w[i : i + size]
+                if digits and piece.isdigit():  # digits stand for letters among letters only
+                    continue
+                for true, p in self.c.by_print.get(piece, ()):
+                    y, p = w[:i] + true + w[i + size :], math.log(max(p, 1e-6))
+                    if out.get(y, -1e9) < p:
+                        out[y] = p
+        return out
 
     def _latin(self, w: str) -> list[tuple[str, float]]:
         out: dict[str, float] = {}
-        for shape, true in LATIN_SHAPES.items():
+        for shape, trues in LATIN_SHAPES.items():
             at = w.find(shape)
             while at >= 0:
-                out[w[:at] + true + w[at + len(shape) :]] = math.log(NOISE / 3)
+                out |= {w[:at] + true + w[at + len(shape) :]: math.log(NOISE / 3) for true in trues.split()}
                 at = w.find(shape, at + 1)
         for i in range(1, len(w) - 1):
             if not w[i].isalnum() and w[i] not in "'’-." and w[i - 1].isalpha() and w[i + 1].isalpha():
                 out[w[:i] + w[i + 1 :]] = math.log(NOISE / 3)
-        return list(out.items())
+        if not w.isalpha():  # a number, or a syllable in parts beside one
+            out |= dict(self._hangul(w))
+        return list(self._learned(w, out).items())
 
     def candidates(self, w: str) -> list[tuple[str, float]]:
         """(word, channel + word score) of what may have been printed, the word itself first.
 
-        Two misprints in one word are undone one after the other."""
+        Two misprints in one word are undone one after the other, where one alone doesn't lead to a
+        known word. Of a word with signs that words aren't made of, that leads to none either way,
+        the readings are weighed by their pieces."""
         known = self.cache.get(w)
         if known is not None:
             return known
         c = self.c
         steps = self._latin if w.isascii() else self._hangul
-        have = {w: self.keep}
-        todo = [(w, 0.0)]
-        for _ in range(2):
-            nxt = []
-            for x, p in todo:
-                for y, q in steps(x):
-                    if y and have.get(y, -1e9) < p + q:
-                        have[y] = p + q
-                        nxt.append((y, p + q))
-            todo = nxt
         own = c.word(w)
+        have = {y: p for y, p in steps(w) if y and y != w}
+        met = [(y, p, n) for y, p in have.items() if (n := c.word(y))]
+        if own <= TWICE and not any(n > SEEN for *_, n in met):
+            twice: dict[str, float] = {}
+            for x, p in have.items():
+                for y, q in steps(x):
+                    if y and y != w and y not in have and twice.get(y, -1e9) < p + q:
+                        twice[y] = p + q
+            have |= twice
+            met += [(y, p, n) for y, p in twice.items() if (n := c.word(y))]
         # what the misprints of the candidates explain isn't evidence for the printed word
-        met = [(y, p, n) for y, p in have.items() if y != w and (n := c.word(y))]
         explained = sum(n * math.exp(p) for _, p, n in met)
-        real = max(own - 3 * explained, 0.0)
-        got = [(w, self.keep + math.log((real + 0.02) / c.total) if real > 0 else self.keep + math.log(0.02 / c.total))]
-        got += [(y, p + math.log(n / c.total)) for y, p, n in met if n >= 3]
+        got = [(w, self.keep + math.log(max(own - 3 * explained - SEEN, 0.02) / c.total))]
+        got += [(y, p + math.log(n / c.total)) for y, p, n in met if n > SEEN]
+        if len(got) == 1 and own <= SEEN and have and _MIXED.search(w) and not _LOOSE_DIGIT.search(w):
+            got = [(w, self.keep + c.unseen(w, own))] + [(y, p + c.unseen(y)) for y, p in have.items() if y.isalpha() and len(y) > 1]
         got = [got[0], *sorted(got[1:], key=lambda x: -x[1])]
         if len(self.cache) > 500_000:
             self.cache.clear()
@@ -316,7 +372,7 @@ class Reader:
     def is_header(self, line: str) -> bool:
         """A paper's name with issue, date or page, and at most a section's name besides."""
         s = line.strip()
-        if not s or len(s) > 60 or not any(x.isdigit() for x in s):
+        if not s or not _ANY_DIGIT.search(s):
             return False
         core = s.strip("<>|·*※▶■-– ")
         if any(p.fullmatch(core) for p in self._head):
@@ -330,7 +386,7 @@ class Reader:
 
     def is_page_number(self, line: str) -> bool:
         s = line.strip()
-        return bool(s) and len(s) <= 18 and bool(self._page.fullmatch(s)) and not regex.fullmatch("(?:19|20)[0-9]{2}", s)
+        return bool(s) and bool(self._page.fullmatch(s)) and not regex.fullmatch("(?:19|20)[0-9]{2}", s)
 
     def is_broken(self, line: str, below: str | None) -> bool:
         """The last word ends in a break mark and its rest stands below."""
@@ -353,9 +409,9 @@ class Reader:
             if len(self.plain) > 1_000_000:
                 self.plain.clear()
             w = "" if _ADDRESS.search(token) else bare(token)
-            if any(b in w for b in "¿�") or _JAMO.search(w) or (len(w) > 1 and any(b in w for b in "□■")):
+            if not _SYLLABLES.fullmatch(w) and _blotted(w):
                 known = False
-            elif not any(x.isalpha() for x in w):
+            elif not _ANY_LETTER.search(w):
                 known = True
             elif len(w) > LONG:
                 known = self.channel.joined(w) == w
@@ -398,9 +454,7 @@ class Reader:
         got = []
         for i, (t, w) in enumerate(zip(tokens, self.decode(tokens))):
             b = bare(t)
-            if any(x in b for x in "¿�") or _JAMO.search(b) or (len(b) > 1 and any(x in b for x in "□■")) or (i and t in "□■"):
-                got.append((i, w))
-            elif w != b:
+            if w != b or _blotted(b) or (i and t in "□■"):
                 got.append((i, w))
         return got
 
@@ -529,41 +583,48 @@ def _count_batches(batches: Iterator) -> Iterator:
     yield out()
 
 
-def _slot_batches(batches: Iterator) -> Iterator:
-    import pyarrow as pa
+#: Counters in one row of the table that goes to the driver.
+_BLOCK = 1 << 16
 
-    for b in batches:
-        a = np.asarray([slots(k) for k in b.column(0).to_pylist()], np.int64).reshape(-1, 2)
-        n = b.column(1).to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([pa.array(a.ravel().astype(np.int32)), pa.array(np.repeat(n, 2))], ["slot", "n"])
+
+def _slot_batches(width: int):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            a = np.asarray([slots(k, width) for k in b.column(0).to_pylist()], np.int64).ravel()
+            n = np.repeat(b.column(1).to_numpy(zero_copy_only=False), 2)
+            yield pa.RecordBatch.from_arrays([pa.array((a // _BLOCK).astype(np.int32)), pa.array((a % _BLOCK).astype(np.int32)), pa.array(n)], ["block", "slot", "n"])
+
+    return run
+
+
+def _packed(rows):
+    """The counters of one block, as bytes."""
+    import pandas as pd
+
+    table = np.bincount(rows["slot"].to_numpy(), rows["n"].to_numpy(np.float64), _BLOCK)
+    return pd.DataFrame({"block": rows["block"].iloc[:1], "data": [np.minimum(table, 2**31 - 1).astype("<i4").tobytes()]})
 
 
 def fit_counts(texts: DataFrame) -> Counts:
     """The language model and channel of all texts: one pass over them, then over the distinct
-    words. What reaches the driver is bounded by the sketch (2 x WIDTH counters) and by the pairs
-    of syllables."""
-    spark = texts.sparkSession
+    words. What reaches the driver is bounded by the sketch (8 bytes x GREATEST) and by the pairs
+    of pieces that are met in five words."""
     keys = stage(texts.select("text").mapInArrow(_count_batches, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "keys")
-    summed = keys.filter("key <> '#'").mapInArrow(_slot_batches, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(2 * WIDTH, np.int64)
-    table[summed["slot"].to_numpy(np.int64)] = summed["n"].to_numpy()
-    total = keys.filter("key = '#'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    counts = Counts(np.minimum(table, 2**31 - 1).astype(np.int32), int(total))
-    shared = spark.sparkContext.broadcast((counts.table, counts.total))
-
-    def learn(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        c = Counts(*shared.value)
-        for b in batches:
-            got, kinds = learn_pairs({k[1:]: n for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}, c)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in got], pa.string()), pa.array([k[1] for k in got], pa.string()), pa.array(list(got.values()), pa.int64()), pa.array([kinds[k] for k in got], pa.int64())], ["true", "printed", "n", "words"])
-
-    words = spread(keys.filter(F.col("key").startswith("w")))
-    pairs = words.mapInArrow(learn, "true string, printed string, n bigint, words bigint").groupBy("true", "printed").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect()
-    got = Counter({(r["true"], r["printed"]): r["n"] for r in pairs})
-    kinds = Counter({(r["true"], r["printed"]): r["words"] for r in pairs})
-    return Counts(counts.table, counts.total, likely_pairs(got, kinds))
+    kept = keys.filter(F.col("n") > SEEN)
+    distinct, total = kept.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("key") == "#", F.col("n"))), F.lit(0))).first()
+    width = min(max(1 << (16 * distinct).bit_length(), LEAST), GREATEST)
+    parts = kept.filter("key <> '#'").mapInArrow(_slot_batches(width), "block int, slot int, n bigint").groupBy("block").applyInPandas(_packed, "block int, data binary")
+    table = np.zeros(2 * width, np.int32)
+    for r in parts.toLocalIterator():
+        table[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["data"], "<i4")
+    words = spread(keys.filter(F.col("key").startswith("w")).select(F.expr("substring(key, 2)").alias("w"), "n"))
+    sizes, pairs = frequent_and_rare(words)
+    met = [tuple(r) for r in pairs.filter("words >= 5").select("true", "printed", "n", "words").collect()]
+    trues = texts.sparkSession.createDataFrame(sorted({(m[0],) for m in met}), "true string")
+    have = [tuple(r) for r in sizes.join(F.broadcast(trues), "true").select("true", "bucket", "words", "n").collect()]
+    return Counts(table, int(total), likely_pairs(have, met))
 
 
 def paper_names(admins: DataFrame) -> list[str]:

@@ -162,9 +162,9 @@ def known_counts(text, learned):
     tally = scanned.Tally()
     tally.add([text] * 60)
     keys = tally.keys()
-    table = np.zeros(2 * scanned.WIDTH, np.int32)
+    table = np.zeros(2 * scanned.LEAST, np.int32)
     for k, n in keys.items():
-        for at in scanned.slots(k):
+        for at in scanned.slots(k, scanned.LEAST):
             table[at] += n
     return scanned.Counts(table, keys["#"], learned)
 
@@ -182,6 +182,26 @@ def test_words_without_spaces_are_read():
     assert tally.keys()["w" + clean] == 1
 
 
+def test_misprints_of_letters_and_digits():
+    text = "the council closed doors of 00.0% 00월 가운데 주민자치회"
+    reader = scanned.Reader(known_counts(text * 5, {("e", "c"): 0.003, ("u", "ii"): 0.003}), [])
+    bad = ["the counci1 met", "c1osed doors", "thc doors", "coiincil", "the b2.5% 가운데", "1l월 가운데", "Z5월", "가운데 l2.5%"]
+    assert [b for b in bad if reader.kinds(b) != [(1, "misread")]] == []
+    assert [b for b in ("the 12.5% 가운데", "11월 가운데", "closed doors", "가운데(59)", "주민자치회(37) 주민자치회11") if reader.kinds(b)] == []
+
+
+def test_misprints_are_learned(spark):
+    """Two misprints befall all words alike and are learned, of one and of two characters; an ending
+    of one word isn't."""
+    syllables = "가나다라마바사아자차카타파하"
+    words = [(f"{x}{y}을", 1000) for x in syllables for y in syllables[:4]]
+    words += [(f"{x}{y}올", 4) for x in syllables for y in syllables[:4]] + [(f"{x}{y}tion", 1000) for x in "abcdefgh" for y in "mnp"] + [(f"{x}{y}non", 4) for x in "abcdefgh" for y in "mnp"]
+    words += [("가가은", 40), (None, 5), ("", 9)]
+    sizes, pairs = scanned.frequent_and_rare(spark.createDataFrame(words, "w string, n bigint"))
+    got = scanned.likely_pairs([tuple(r) for r in sizes.collect()], [tuple(r) for r in pairs.collect()])
+    assert set(got) == {("을", "올"), ("ti", "n")} and abs(got["을", "올"] - 0.004) < 1e-9
+
+
 def test_all_known_candidates_are_kept():
     true = "가나다라마바사"
     channel = scanned.Channel(known_counts(" ".join(f"{x}말" for x in true), {(x, "하"): 0.001 for x in true}))

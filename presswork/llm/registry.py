@@ -12,12 +12,20 @@ from presswork.sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def p1_similar(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.near_pairs(neardup.record_texts(table(spark, d, "articles"), table(spark, d, "policy")))
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.record_texts(table(spark, d, "articles"), table(spark, d, "policy"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return p1_similar(spark, d).select("record_kind", "id_a", "id_b")
+    return neardup.near_pairs(_records(spark, d)).select("record_kind", "id_a", "id_b")
+
+
+def p1_similar(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_classes(_records(spark, d))
+
+
+def p1_copies(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.copies(_records(spark, d))
 
 
 def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +99,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_similar, p2_found, p2_pairs, p3_found, p3_masked, p4_found, p4_blocks, p4_cleaned, p5_found, p5_repaired, p6_ids, p6_round_trip, p7_packed, p7_summary, p8_found, p8_shares, p8_composition)
+    for f in (p1_found, p1_similar, p1_copies, p2_found, p2_pairs, p3_found, p3_masked, p4_found, p4_blocks, p4_cleaned, p5_found, p5_repaired, p6_ids, p6_round_trip, p7_packed, p7_summary, p8_found, p8_shares, p8_composition)
 }
 
 _P4_LINES = r"""

@@ -49,9 +49,10 @@ def responses(log: DataFrame) -> DataFrame:
     return all_.filter("own = 1").select("seq", "article_id", "on", "count")
 
 
-def emotion_stats(articles: DataFrame, log: DataFrame) -> DataFrame:
-    """article_id, n_<type> for every type (0 where none), n_total: one pass, partial sums first."""
-    per = log.groupBy("article_id").agg(*(F.count_if(F.col("emotion_type") == e).alias(f"n_{e}") for e in EMOTIONS), F.count("*").alias("n_total"))
+def emotion_stats(articles: DataFrame, states: DataFrame) -> DataFrame:
+    """article_id, n_<type> for every type (0 where none), n_total of the reactions that stand
+    (``final_states``): one pass, partial sums first."""
+    per = states.groupBy("article_id").agg(*(F.count_if(F.col("emotion_type") == e).alias(f"n_{e}") for e in EMOTIONS), F.count("*").alias("n_total"))
     cols = [f"n_{e}" for e in EMOTIONS] + ["n_total"]
     return articles.select(F.col("id").alias("article_id")).join(per, "article_id", "left").select("article_id", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in cols))
 

@@ -13,12 +13,18 @@ from pyspark.sql import functions as F
 LINK = r"""href=["']([^"']*articleView\.html\?idxno=[^"']*)["']"""
 
 
+_PART = r"""(?:[^>"']+|"[^"]*"|'[^']*')"""
+OG_TITLE = rf"""(?is)(<meta\b(?=[^>]*?\bproperty\s*=\s*["']?og:title["'\s/>]){_PART}*+>)"""
+
+
 def page_title(html: Column) -> Column:
-    """og:title if the tag is there, even empty, else <title>; at most 255 characters."""
-    og = r"""(?is)<meta[^>]*property=["']og:title["'][^>]*content=(?:"([^"]*)"|'([^']*)')"""
-    value = F.concat(F.regexp_extract(html, og, 1), F.regexp_extract(html, og, 2))
-    plain = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    return F.substring(F.trim(F.when(html.rlike(og), value).otherwise(plain)), 1, 255)
+    """og:title if the tag is there, even empty and whatever the order of its attributes, else
+    <title> with its white space squeezed; entities decoded; at most 255 characters."""
+    tag = F.regexp_extract(html, OG_TITLE, 1)
+    content = r"""(?is)\bcontent\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    value = F.concat(*(F.regexp_extract(tag, content, i) for i in (1, 2, 3)))
+    plain = F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
+    return F.substring(unescape(F.when(tag != "", value).otherwise(plain)), 1, 255)
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -99,8 +105,18 @@ def article_page(title: Column, content: Column) -> Column:
     return F.concat(F.lit('<html><head><meta property="og:title" content="'), esc(F.coalesce(title, F.lit(""))), F.lit('"><title>x</title></head><body>'), body, F.lit("<div>footer</div></body></html>"))
 
 
-def unescape(s: str | None) -> str | None:
-    return None if s is None else _html.unescape(s)
+def _decoded(s: pd.Series) -> pd.Series:
+    return s.map(_html.unescape, na_action="ignore")
+
+
+def unescape(c: Column) -> Column:
+    """Character references as characters; null for null. There is no built-in function for it."""
+    return F.pandas_udf(_decoded, "string")(c)
+
+
+def without_empty(rows: DataFrame) -> DataFrame:
+    """Crawled rows (title, content) but for those with neither."""
+    return rows.filter((F.coalesce("title", F.lit("")) != "") | (F.coalesce("content", F.lit("")) != ""))
 
 
 def crawl_cutoff(candidates: DataFrame, known: DataFrame, site: str = "site", strict: bool = True, pages: int = 100) -> DataFrame:

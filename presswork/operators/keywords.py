@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from presswork.functions.text import strip_control
+from presswork.session import stage
 
 
 def new_names(names: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -41,6 +42,13 @@ def replaced(current: DataFrame, updates: DataFrame, keywords: DataFrame) -> Dat
     return keep.unionByName(names.join(ids, "name").select("article_id", "keyword_id").distinct())
 
 
+def created_and_replaced(current: DataFrame, updates: DataFrame, keywords: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The dictionary with the names of ``updates`` it lacked, and the links after the updates."""
+    names = updates.select(F.explode("names").alias("name"))
+    dictionary = stage(upserted(names, keywords), "dictionary")
+    return dictionary, replaced(current, updates, dictionary)
+
+
 def updated_summaries(articles: DataFrame, updates: DataFrame) -> DataFrame:
     """id, summary: the new summary where there is one."""
     new = updates.select(F.col("article_id").alias("id"), F.col("summary").alias("new"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswork.functions import text
+from presswork.session import stage
 
 
 def month_bounds(month: str) -> tuple[dt.date, dt.date]:
@@ -25,11 +26,13 @@ def in_month(d: Column, month: str) -> Column:
     return (d >= F.lit(a)) & (d < F.lit(b))
 
 
-def publications(papers: DataFrame, articles: DataFrame, admin_id: int | None = None, month: str | None = None, q: str | None = None) -> DataFrame:
-    """Papers of an admin, of a month, matching ``q``: in the title, in yyyy-MM of the date, or in
+def publications(papers: DataFrame, articles: DataFrame, admin_id: int | None = None, month: str | None = None, q: str | None = None, status: str | None = "ACTIVE") -> DataFrame:
+    """Papers of a status (active ones, unless another or None is given), of an admin, of a month, matching ``q``: in the title, in yyyy-MM of the date, or in
     the title of one of its active articles; each argument only if it is given. % and _ in ``q``
     keep their meaning. One row per paper id; ties between repeated rows are broken arbitrarily.
     The match on articles is a semi join decided per paper (existence), never a row blow-up."""
+    if status is not None:
+        papers = papers.filter(F.col("status") == status)
     if admin_id is not None:
         papers = papers.filter(F.col("admin_id") == admin_id)
     if month:
@@ -62,6 +65,14 @@ def summaries(papers: DataFrame, admins: DataFrame) -> DataFrame:
     return papers.join(a, "admin_id", "left").select("id", "published_date", "title", text.preview(F.col("content")).alias("preview"), text.display_name(F.col("press_company"), F.col("login_id")).alias("admin_name"))
 
 
+def publication_list(papers: DataFrame, articles: DataFrame, admins: DataFrame, admin_id: int, month: str | None = None, q: str | None = None, number: int = 1, size: int = 10) -> DataFrame:
+    """A page of an admin's active papers, newest first (ties by id), as summaries with the ``total``
+    of all pages. The matches are found once and staged; only the page is joined to its admin."""
+    hits = stage(publications(papers, articles, admin_id, month, q).select("id", "published_date", "title", "content", "admin_id"), "publications")
+    shown = page(hits, newest_first(), number, size)
+    return summaries(shown, admins).withColumn("total", F.lit(hits.count()).cast("bigint"))
+
+
 def reports(df: DataFrame, status: str | None = None) -> DataFrame:
     """Reports of a status (all if none has text)."""
     return df.filter(F.col("status") == status) if status and status.strip() else df

@@ -55,6 +55,16 @@ def q_keyword_replace(t: Tables) -> DataFrame:
     return kw.replaced(t.article_keywords, _updates(t), t.keywords)
 
 
+@R.add("""select distinct ak.article_id, ak.keyword_id, k.name from article_keywords ak join keywords k on k.id = ak.keyword_id left join articles a on a.id = ak.article_id
+where ak.article_id is not null and (a.status is null or a.status <> 'EXPIRED') union all
+select a.id, case n when '매출액' then (select min(id) from keywords where name = '매출액') else (select max(id) + 1 from keywords) end, n from articles a, unnest(['매출액', '전에 없던 말']) u(n) where a.status = 'EXPIRED'""")
+def q_keyword_update(t: Tables) -> DataFrame:
+    """Names that the dictionary lacks are created: here one, which gets the next id."""
+    new = F.when(F.col("status") == "EXPIRED", F.array(F.lit(" 매출액 "), F.lit("전에 없던 말"), F.lit(" ")))
+    dictionary, links = kw.created_and_replaced(t.article_keywords, t.articles.select(F.col("id").alias("article_id"), new.alias("names")), t.keywords)
+    return links.join(dictionary.select(F.col("id").alias("keyword_id"), "name"), "keyword_id").select("article_id", "keyword_id", "name")
+
+
 @R.add("select id, case when status = 'EXPIRED' then '내린 글' else summary end summary from articles")
 def q_summary_update(t: Tables) -> DataFrame:
     return kw.updated_summaries(t.articles, _updates(t))

@@ -17,14 +17,13 @@ from presswork.plans.base import Registry, Tables
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
 
-ESC = """replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '"', '&quot;')"""
 
 
 def _pages(t: Tables) -> DataFrame:
     return t.articles.select(F.col("id").alias("page_id"), hp.article_page(F.col("title"), F.col("content")).alias("html"), "title", "content")
 
 
-@R.add(f"select id page_id, substring(trim({ESC.format(c='title')}), 1, 255) title from articles")
+@R.add("select id page_id, substring(coalesce(title, ''), 1, 255) title from articles")
 def q_page_titles(t: Tables) -> DataFrame:
     return _pages(t).select("page_id", hp.page_title(F.col("html")).alias("title"))
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from presswork.functions import text as tx
 from presswork.operators import detail, search
-from presswork.operators.emotions import emotion_log
-from presswork.plans.base import Registry, Tables
+from presswork.operators import vectors as ve
+from presswork.operators.emotions import emotion_log, final_states
+from presswork.plans.base import TOGGLED, Registry, Tables
+from presswork.session import stage
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -25,25 +27,25 @@ def _date(c: str = "published_date") -> F.Column:
 
 
 @R.add(f"""select p.id, {DATE.format(d='p.published_date')} published_date, p.title, {PREVIEW.format(c='p.content')} preview, {NAME.format(p='m.press_company', l='m.login_id')} admin_name
-from papers p left join admins m on p.admin_id = m.id where coalesce({MATCH.format(q='신문')}, false)""")
+from papers p left join admins m on p.admin_id = m.id where p.status = 'ACTIVE' and coalesce({MATCH.format(q='신문')}, false)""")
 def q_publication_search(t: Tables) -> DataFrame:
     hits = search.publications(t.papers, t.articles, q="신문")
     return search.summaries(hits, t.admins).withColumn("published_date", F.date_format("published_date", "yyyy-MM-dd"))
 
 
-@R.add(f"select count(*) total from papers p where coalesce({MATCH.format(q='2023')}, false)")
+@R.add(f"select count(*) total from papers p where p.status = 'ACTIVE' and coalesce({MATCH.format(q='2023')}, false)")
 def q_publication_search_total(t: Tables) -> DataFrame:
     return search.publications(t.papers, t.articles, q="2023").agg(F.count("*").alias("total"))
 
 
-@R.add(f"""select p.id, p.title from papers p where coalesce({MATCH.format(q='2023-05')} or (p.published_date >= date '2023-05-01' and p.published_date < date '2023-06-01'), false)""")
+@R.add(f"""select p.id, p.title from papers p where p.status = 'ACTIVE' and coalesce({MATCH.format(q='2023-05')} or (p.published_date >= date '2023-05-01' and p.published_date < date '2023-06-01'), false)""")
 def q_publication_search_by_month_text(t: Tables) -> DataFrame:
     return search.publications(t.papers, t.articles, q="2023-05").select("id", "title")
 
 
-@R.add(f"""select p.id, {DATE.format(d='p.published_date')} published_date from papers p where p.admin_id = 5 and published_date >= date '2022-06-01' and published_date < date '2022-07-01'""")
+@R.add(f"""select p.id, {DATE.format(d='p.published_date')} published_date from papers p where p.admin_id = 4 and p.status = 'ACTIVE' and published_date >= date '2024-01-01' and published_date < date '2024-02-01'""")
 def q_publication_month_filter(t: Tables) -> DataFrame:
-    return search.publications(t.papers, t.articles, admin_id=5, month="2022-06").select("id", _date())
+    return search.publications(t.papers, t.articles, admin_id=4, month="2024-01").select("id", _date())
 
 
 @R.add(f"select id, {DATE.format(d='published_date')} published_date, title from papers order by published_date desc nulls first, id limit 10 offset 10")
@@ -53,8 +55,8 @@ def q_publication_page(t: Tables) -> DataFrame:
 
 @R.add("""with kw as (select distinct ak.article_id, k.name from article_keywords ak join keywords k on k.id = ak.keyword_id where k.name is not null),
 l as (select article_id, string_agg(name, '|' order by encode(name)) keywords from kw group by 1)
-select a.paper_id, a.id article_id, a.title, coalesce(l.keywords, '') keywords from articles a left join l on l.article_id = a.id
-where a.paper_id in (select id from papers)""")
+select a.paper_id, a.id article_id, a.title, a.summary, a.image_path, coalesce(l.keywords, '') keywords from articles a left join l on l.article_id = a.id
+where a.status = 'ACTIVE' and a.paper_id in (select id from papers)""")
 def q_publication_detail(t: Tables) -> DataFrame:
     return detail.publication_articles(t.papers, t.articles, t.article_keywords, t.keywords)
 
@@ -65,27 +67,48 @@ def q_issue_articles(t: Tables) -> DataFrame:
     return detail.issue_articles(t.papers, t.articles).withColumn("published_date", F.date_format("published_date", "yyyy-MM-dd"))
 
 
-@R.add(f"""select a.id, a.title, a.summary, a.reporter, a.paper_id, a.admin_id, p.title paper_title, {DATE.format(d='p.published_date')} published_date, m.press_company
+@R.add(f"""select a.id, a.title, a.summary, a.reporter, a.image_path, a.paper_id, a.admin_id, p.title paper_title, {DATE.format(d='p.published_date')} published_date, m.press_company
 from articles a join papers p on a.paper_id = p.id join admins m on a.admin_id = m.id""")
 def q_article_detail(t: Tables) -> DataFrame:
     return detail.article_base(t.articles, t.papers, t.admins).withColumn("published_date", F.date_format("published_date", "yyyy-MM-dd"))
 
 
 _KINDS = ["click", "error", "purchase", "signup", "view"]
-_LOG = "select event_id seq, try_cast(json_extract_string(props, '$.k') as bigint) article_id, user_id user_identifier, event_type emotion_type, ts from events"
+USER = 42
 
 
-@R.add(f"""with log as ({_LOG}), s as (select article_id, {', '.join(f"count(*) filter (emotion_type = '{k}') n_{k}" for k in _KINDS)}, count(*) n_total from log group by 1),
+@R.add(f"""{TOGGLED}, st as (select article_id, user_identifier, emotion_type from t where back = 1 and is_on),
+s as (select article_id, {', '.join(f"count(*) filter (emotion_type = '{k}') n_{k}" for k in _KINDS)}, count(*) n_total from st group by 1),
 kw as (select distinct ak.article_id, k.name from article_keywords ak join keywords k on k.id = ak.keyword_id where k.name is not null),
-l as (select article_id, string_agg(name, '|' order by encode(name)) keywords, count(*) n from kw group by 1)
-select a.id, a.title, a.summary, a.reporter, a.paper_id, a.admin_id, p.title paper_title, {DATE.format(d='p.published_date')} published_date, m.press_company,
-{', '.join(f'coalesce(s.n_{k}, 0) n_{k}' for k in _KINDS)}, coalesce(s.n_total, 0) n_total, coalesce(l.keywords, '') keywords, coalesce(l.n, 0) n_keywords
-from articles a join papers p on a.paper_id = p.id join admins m on a.admin_id = m.id left join s on s.article_id = a.id left join l on l.article_id = a.id""")
+l as (select article_id, string_agg(name, '|' order by encode(name)) keywords, count(*) n from kw group by 1),
+v as (select vec_id + 1 id, embedding::double[] e from embeddings), q as (select * from v where id % 50 = 0),
+nd as (select q.id query_id, v.id, list_distance(q.e, v.e) distance, q.id = v.id self from q, v),
+na as (select query_id, id, row_number() over (partition by query_id order by distance, id) rank from nd where not self),
+np as (select query_id, id, row_number() over (partition by query_id order by distance, id) rank from nd),
+ra as (select query_id, string_agg(cast(id as varchar), '|' order by rank) ids from na where rank <= 3 and id in (select id from articles) group by 1),
+rp as (select query_id, string_agg(cast(id as varchar), '|' order by rank) ids from np where rank <= 3 and id in (select id from policy) group by 1)
+select a.id, a.title, a.summary, a.reporter, a.image_path, a.paper_id, a.admin_id, p.title paper_title, {DATE.format(d='p.published_date')} published_date, m.press_company,
+{', '.join(f'coalesce(s.n_{k}, 0) n_{k}' for k in _KINDS)}, coalesce(s.n_total, 0) n_total, coalesce(l.keywords, '') keywords, coalesce(l.n, 0) n_keywords,
+coalesce(ra.ids, '') related, coalesce(rp.ids, '') policies, own.emotion_type my_emotion
+from articles a join papers p on a.paper_id = p.id join admins m on a.admin_id = m.id left join s on s.article_id = a.id left join l on l.article_id = a.id
+left join ra on ra.query_id = a.id left join rp on rp.query_id = a.id left join st own on own.article_id = a.id and own.user_identifier = {USER}""")
 def q_article_detail_full(t: Tables) -> DataFrame:
-    d = detail.article_detail(t.articles, t.papers, t.admins, emotion_log(t.events), t.article_keywords, t.keywords)
+    vectors = t.embeddings.select((F.col("vec_id") + 1).alias("id"), F.col("embedding").alias("vector"))
+    asked = vectors.filter(F.col("id") % 50 == 0)
+    near = ve.related(ve.nearest(asked, vectors, 3), t.articles)
+    policies = ve.related(ve.nearest(asked, vectors, 3, exclude_self=False), t.policy)
+    states = stage(final_states(emotion_log(t.events)), "states")
+    d = detail.article_detail(t.articles, t.papers, t.admins, states, t.article_keywords, t.keywords, near, policies, USER)
     return d.withColumn("published_date", F.date_format("published_date", "yyyy-MM-dd"))
 
 
+@R.add(f"""with h as (select p.* from papers p where p.admin_id = 4 and p.status = 'ACTIVE' and coalesce({MATCH.format(q='20')}, false))
+select h.id, {DATE.format(d='h.published_date')} published_date, h.title, {PREVIEW.format(c='h.content')} preview, {NAME.format(p='m.press_company', l='m.login_id')} admin_name, (select count(*) from h) total
+from h left join admins m on h.admin_id = m.id order by h.published_date desc nulls first, h.id limit 3""")
+def q_publication_list(t: Tables) -> DataFrame:
+    return search.publication_list(t.papers, t.articles, t.admins, 4, q="20", size=3).withColumn("published_date", F.date_format("published_date", "yyyy-MM-dd"))
+
+
 @R.add("select a.id, a.title from articles a where not exists (select 1 from papers p, admins m where p.id = a.paper_id and m.id = a.admin_id)")
 def q_articles_unlinked(t: Tables) -> DataFrame:
     return detail.unlinked(t.articles, t.papers, t.admins)
@@ -120,9 +143,9 @@ union all select 'login', cast(id as varchar) from admins where login_id = 'nuri
 union all select 'paper_articles', cast(id as varchar) from articles where paper_id = 7
 union all select 'admin_articles', cast(id as varchar) from articles where admin_id = 3
 union all select 'reporter', cast(id as varchar) from articles where reporter = '송겨울'
-union all select 'published', cast(id as varchar) from papers where published_date = date '2023-05-23'
+union all select 'published', cast(id as varchar) from papers where published_date = date '2022-11-29'
 union all select 'minister', cast(id as varchar) from policy where minister_name = '생활행정부'
-union all select 'keyword', cast(id as varchar) from keywords where name = '농기계'
+union all select 'keyword', cast(id as varchar) from keywords where name = '매출액'
 union all select 'paper_and_status', cast(id as varchar) from articles where paper_id = 7 and status = 'ACTIVE'
 union all select 'ids', cast(id as varchar) from articles where id in (3, 5, 8, 13)
 union all select 'not_self', cast(id as varchar) from admins where id <> 4
@@ -139,9 +162,9 @@ def q_finder_suite(t: Tables) -> DataFrame:
         ("paper_articles", t.articles.filter(c("paper_id") == 7)),
         ("admin_articles", t.articles.filter(c("admin_id") == 3)),
         ("reporter", t.articles.filter(c("reporter") == "송겨울")),
-        ("published", t.papers.filter(c("published_date") == F.lit("2023-05-23").cast("date"))),
+        ("published", t.papers.filter(c("published_date") == F.lit("2022-11-29").cast("date"))),
         ("minister", t.policy.filter(c("minister_name") == "생활행정부")),
-        ("keyword", t.keywords.filter(c("name") == "농기계")),
+        ("keyword", t.keywords.filter(c("name") == "매출액")),
         ("paper_and_status", t.articles.filter((c("paper_id") == 7) & (c("status") == "ACTIVE"))),
         ("ids", t.articles.filter(c("id").isin(3, 5, 8, 13))),
         ("not_self", t.admins.filter(c("id") != 4)),

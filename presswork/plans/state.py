@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from presswork.operators import emotions as em
 from presswork.operators import tracking as tr
 from presswork.operators import vectors as ve
-from presswork.plans.base import Registry, Tables
+from presswork.plans.base import TOGGLED, Registry, Tables
 from presswork.plans.content import progress_log
 from presswork.streaming import live
 
@@ -16,18 +16,12 @@ R = Registry()
 QUERIES, SQL = R.queries, R.sql
 
 KINDS = em.EMOTIONS
-LOG = "log as (select event_id seq, try_cast(json_extract_string(props, '$.k') as bigint) article_id, user_id user_identifier, event_type emotion_type, ts from events)"
-TOGGLED = f"""with {LOG},
-r as (select *, row_number() over (partition by article_id, user_identifier order by ts, seq) - row_number() over (partition by article_id, user_identifier, emotion_type order by ts, seq) run from log),
-p as (select *, row_number() over (partition by article_id, user_identifier, emotion_type, run order by ts, seq) % 2 = 1 is_on from r),
-t as (select *, lag(emotion_type) over w prev, lag(is_on) over w prev_on, row_number() over (partition by article_id, user_identifier order by ts desc, seq desc) back from p
- window w as (partition by article_id, user_identifier order by ts, seq))"""
 
-
-@R.add(f"""with {LOG} select a.id article_id, {', '.join(f"count(*) filter (l.emotion_type = '{k}') n_{k}" for k in KINDS)}, count(l.seq) n_total
-from articles a left join log l on l.article_id = a.id group by 1""")
+@R.add(f"""{TOGGLED}, l as (select article_id, emotion_type from t where back = 1 and is_on)
+select a.id article_id, {', '.join(f"count(*) filter (l.emotion_type = '{k}') n_{k}" for k in KINDS)}, count(l.emotion_type) n_total
+from articles a left join l on l.article_id = a.id group by 1""")
 def q_emotion_stats(t: Tables) -> DataFrame:
-    return em.emotion_stats(t.articles, em.emotion_log(t.events))
+    return em.emotion_stats(t.articles, em.final_states(em.emotion_log(t.events)))
 
 
 @R.add(f"{TOGGLED} select article_id, user_identifier, emotion_type from t where back = 1 and is_on")

@@ -29,7 +29,9 @@ def build_session(app: str = "presswork", master: str | None = None, **conf: str
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
     }
-    return b.config(map=base | conf).getOrCreate()
+    spark = b.config(map=base | conf).getOrCreate()
+    ship(spark)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,6 +71,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, the result survives
     the loss of executors, and the planner knows its size."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/staged/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     if not _STAGED:
@@ -92,6 +95,7 @@ def release() -> None:
 def spread(df: DataFrame) -> DataFrame:
     """More partitions for Python stages, only where the input has fewer than there are cores
     (one small file); large inputs are split by size already and aren't shuffled."""
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

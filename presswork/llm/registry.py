@@ -116,5 +116,10 @@ keep as (select s.field, s.source, s.k from sup s join cnt c on s.field = c.fiel
 """
 
 SQL: dict[str, str] = {
+    "p4_cleaned": _P4_LINES + """, rw as (select *, row_number() over () rid from src),
+lr as (select rid, field, id, source, unnest(string_split(content, chr(10))) line, generate_subscripts(string_split(content, chr(10)), 1) line_no from rw),
+gone as (select distinct y.field, y.id, y.line_no from ky y join keep p on y.field = p.field and y.source = p.source and y.k = p.k)
+select lr.field, lr.id, coalesce(string_agg(lr.line, chr(10) order by lr.line_no) filter (g.id is null), '') content
+from lr left join gone g on g.field = lr.field and g.id = lr.id and g.line_no = lr.line_no group by lr.rid, lr.field, lr.id""",
     "p4_found": _P4_LINES + "select distinct y.field, y.id, cast(y.line_no as bigint) line_no from ky y join keep p on y.field = p.field and y.source = p.source and y.k = p.k",
 }

@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 from presswork.operators import emotions as em
 from presswork.operators import keywords as kw
 from presswork.operators import vectors as ve
-from presswork.session import checked_join
+from presswork.session import checked_join, stage
 from presswork.streaming import live
 
 LOG = "seq bigint, article_id bigint, user_identifier bigint, emotion_type string, ts timestamp_ntz"
@@ -126,3 +126,12 @@ def test_checked_join_is_a_join_on_either_way(spark):
         want = sorted(map(str, left.join(right, ["k"], how).collect()))
         for limit in (0, 100):
             assert sorted(map(str, checked_join(left, right, ["k"], how, limit).collect())) == want
+
+
+def test_the_driver_is_tidied_after_a_table_is_staged(spark):
+    jvm = spark.sparkContext._jvm
+    left = jvm.java.util.ArrayList()
+    ref = jvm.java.lang.ref.WeakReference(left)
+    del left
+    stage(spark.range(3), "three")
+    assert ref.get() is None

@@ -1,5 +1,6 @@
 """Tokens, packing, personal information, scanned pages and subjects on small inputs."""
 
+import re
 import random
 
 import numpy as np
@@ -233,3 +234,20 @@ def test_subjects(spark):
     assert found[900] == {"farm", "law"}
     assert not {901, 902, 903} & set(found)
     assert subjects.subject_shares(docs, labels.limit(0), names).count() == 0
+
+
+def test_texts_are_hashed_together_as_each_alone():
+    texts = ["서울시는 오늘 새 계획을 발표했다. 2024년 예산은 a_b 로 쓴다!\n\n둘째 줄이다", None, "", "x", "One more line. " * 3, "²x Ⅷ 가나1다 오늘 새 \ud800y 𠀀字 ١٢ z\x00w"]
+    words = subjects._Words()
+    ends, terms, at = subjects.hashed_all(texts, words, {})
+    begin = 0
+    for text, end in zip(texts, ends.tolist()):
+        want = set()
+        found = subjects.sentences(text) if text else []
+        for i, s in enumerate(found):
+            h = [words[w] for w in re.findall(r"[^\W\d_]+", s)]
+            want |= {((x >> 7) % subjects.BUCKETS, i) for x in h if x}
+            want |= {(((x * 0x9E3779B97F4A7C15 ^ y * 0xC2B2AE3D27D4EB4F) % (1 << 64) >> 13) % subjects.BUCKETS, i) for x, y in zip(h, h[1:])}
+        rows = list(zip(terms[begin:end].tolist(), at[begin:end].tolist()))
+        assert rows.pop() == (-1, len(found)) and len(rows) == len(want) and set(rows) == want
+        begin = end

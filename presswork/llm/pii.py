@@ -85,9 +85,11 @@ class Tagger:
         self.mix = np.concatenate([2 * u * half, x * half, b * half], 2)
         self.mix[:, 3 * k :, -1] += 0.5
         self.out = np.ascontiguousarray(2 * w["out"].astype(np.float32).transpose(0, 2, 1)[:, INNER])
+        # the tags' scores come with the gates of the step after
+        self.mix = np.concatenate([self.mix, np.concatenate([self.out, np.zeros((2, len(TAGS), self.mix.shape[2] - k), np.float32)], 2)], 1)
         self.bias, self.trans = w["bias"].astype(np.float32)[INNER], (w["trans"].astype(np.float32) + BARRED)[INNER][:, INNER]
         self.state = np.zeros((2, self.mix.shape[2], BATCH), np.float32)
-        self.g = np.empty((2, 4 * k, BATCH), np.float32)
+        self.g = np.empty((2, 4 * k + len(TAGS), BATCH), np.float32)
         self.c, self.new = np.empty((2, k, BATCH), np.float32), np.empty((2, k, BATCH), np.float32)
 
     def encode(self, text: str) -> np.ndarray:
@@ -98,23 +100,26 @@ class Tagger:
         """Scores (direction, time and batch, tags in INNER order) of ids (time, direction, batch)."""
         t, k = len(ids), self.hidden
         g, c, new, h = self.g, self.c, self.new, self.state[:, :k]
+        gates, tags = g[:, : 4 * k], g[:, 4 * k :].transpose(0, 2, 1)
         gi, gf, go, gg = (g[:, i * k : (i + 1) * k] for i in range(4))
         read = [self.state[d, k:] for d in (0, 1)]
-        e = np.empty((t, 2, len(TAGS), BATCH), np.float32)
+        e = np.empty((2, t, BATCH, len(TAGS)), np.float32)
         h[:], c[:] = 0, 0
         for i in range(t):
             for d in (0, 1):
                 np.take(self.emb, ids[i, d], axis=1, out=read[d], mode="clip")
             np.matmul(self.mix, self.state, out=g)
-            np.clip(g, 0, 1, out=g)
+            if i:
+                e[:, i - 1] = tags
+            np.clip(gates, 0, 1, out=gates)
             np.multiply(c, gf, out=c)
             np.subtract(gg, 0.5, out=new)
             np.multiply(gi, new, out=new)
             np.add(c, new, out=c)
             np.clip(c, -0.5, 0.5, out=c)
             np.multiply(go, c, out=h)
-            np.matmul(self.out, h, out=e[i])
-        return np.ascontiguousarray(e.transpose(1, 0, 3, 2)).reshape(2, t * BATCH, len(TAGS))
+        e[:, t - 1] = np.matmul(self.out, h).transpose(0, 2, 1)
+        return e.reshape(2, t * BATCH, len(TAGS))
 
     def emissions(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Tag scores of every character of texts that lie one after the other in ``codes``, from

@@ -251,3 +251,18 @@ def test_texts_are_hashed_together_as_each_alone():
         rows = list(zip(terms[begin:end].tolist(), at[begin:end].tolist()))
         assert rows.pop() == (-1, len(found)) and len(rows) == len(want) and set(rows) == want
         begin = end
+
+
+def test_tag_scores_come_with_the_gates_of_the_next_step():
+    t = pii.tagger(pii.WEIGHTS.read_bytes())
+    k, n, steps = t.hidden, len(pii.TAGS), 7
+    assert t.mix.shape[1] == 4 * k + n
+    ids = np.random.default_rng(3).integers(0, t.emb.shape[1], (steps, 2, pii.BATCH))
+    got = t.scores(ids).reshape(2, steps, pii.BATCH, n)
+    for d in (0, 1):
+        h, c = np.zeros((k, pii.BATCH)), np.zeros((k, pii.BATCH))
+        for i in range(steps):
+            g = np.clip(t.mix[d, : 4 * k] @ np.concatenate([h, t.emb[:, ids[i, d]]]), 0, 1)
+            c = np.clip(c * g[k : 2 * k] + g[:k] * (g[3 * k :] - 0.5), -0.5, 0.5)
+            h = g[2 * k : 3 * k] * c
+            assert np.allclose(got[d, i], (t.out[d] @ h).T, atol=1e-3)
